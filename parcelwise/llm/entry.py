@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import byte_bpe, token_counts
+from parcelwise.llm import byte_bpe, language_id, media_columns, packing, quality_rules, token_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.digests(media_columns.store(_documents(spark, sf_dir)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_rules.apply(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), WORD_BPE)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -29,6 +47,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_media_columns": op4_media_columns,
+        "op6_language_id": op6_language_id,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
