@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import byte_bpe, language_id, line_dedup, media_columns, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from parcelwise.llm import byte_bpe, jaccard_join, language_id, line_dedup, media_columns, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_spread_lines(_documents(spark, sf_dir), count_col="removed_lines").select("doc_id", "text", "removed_lines")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.digests(media_columns.store(_documents(spark, sf_dir)))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_line_dedup": op2_line_dedup,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_media_columns": op4_media_columns,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_language_id": op6_language_id,
