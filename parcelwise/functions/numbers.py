@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelwise.functions.let import let
+
 #: Thresholds below which differences are floating-point noise: metres (or square metres), and degrees.
 LINEAR_EPS, ANGLE_EPS = 1e-4, 1e-8
 #: Spaces used as thousands separators: plain, no-break, figure, narrow no-break, thin, hair.
@@ -45,15 +47,21 @@ def decimal_mark(body: Column, convention: Column) -> Column:
 def parse_number(raw: Column, convention: Column | str = "br") -> Column:
     """struct<value double, decimals int, halfwidth double> of the first number in raw, null without one."""
     convention = F.lit(convention) if isinstance(convention, str) else convention
-    sign, run = F.regexp_extract(raw, _RUN, 1), F.regexp_extract(raw, _RUN, 2)
-    body = F.regexp_replace(strip_spaces(F.regexp_replace(run, "\\s", "")), "[.,]+$", "")
-    mark = decimal_mark(body, convention)
-    plain = F.translate(body, ".,", "")
-    decimals = F.when(mark.isNull(), 0).otherwise(_after(body, ",")).cast("int")
-    decimals = F.when(mark == ".", _after(body, ".")).otherwise(decimals).cast("int")
-    digits = F.when(decimals == 0, plain).otherwise(F.concat(F.substr(plain, F.lit(1), F.length(plain) - decimals), F.lit("."), F.substr(plain, F.length(plain) - decimals + 1)))
-    value = digits.try_cast("double") * F.when(sign.isin("-", "\u2212"), -1.0).otherwise(1.0)
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), decimals.alias("decimals"), halfwidth(decimals).alias("halfwidth")))
+
+    def read(x: Column) -> Column:
+        decimals = F.when(x["mark"].isNull(), 0).otherwise(F.when(x["mark"] == ",", _after(x["body"], ",")).otherwise(_after(x["body"], "."))).cast("int")
+        plain = F.translate(x["body"], ".,", "")
+        return F.struct(x["sign"].alias("sign"), plain.alias("plain"), decimals.alias("decimals"))
+
+    def value(x: Column) -> Column:
+        whole = F.substr(x["plain"], F.lit(1), F.length(x["plain"]) - x["decimals"])
+        digits = F.when(x["decimals"] == 0, x["plain"]).otherwise(F.concat(whole, F.lit("."), F.substr(x["plain"], F.length(x["plain"]) - x["decimals"] + 1)))
+        return F.struct((digits.try_cast("double") * F.when(x["sign"].isin("-", "\u2212"), -1.0).otherwise(1.0)).alias("value"), x["decimals"].alias("decimals"), halfwidth(x["decimals"]).alias("halfwidth"))
+
+    body = F.regexp_replace(strip_spaces(F.regexp_replace(F.regexp_extract(raw, _RUN, 2), "\\s", "")), "[.,]+$", "")
+    start = F.struct(F.regexp_extract(raw, _RUN, 1).alias("sign"), body.alias("body"), convention.alias("convention"))
+    marked = let(start, lambda x: F.struct(x["sign"].alias("sign"), x["body"].alias("body"), decimal_mark(x["body"], x["convention"]).alias("mark")))
+    return let(let(let(marked, read), value), lambda x: F.when(x["value"].isNotNull(), x))
 
 
 def halfwidth(decimals: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelwise.functions.let import let
+
 _MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 #: Weights of the check digits (first and second digit of each kind).
@@ -41,8 +43,7 @@ def normalize_code(code: Column) -> Column:
 
 def _check_digit(digits: Column, weights: list[int]) -> Column:
     total = sum((F.substring(digits, k + 1, 1).cast("int") * w for k, w in enumerate(weights)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    return let(total % 11, lambda rest: F.when(rest < 2, 0).otherwise(11 - rest))
 
 
 def valid_tax_id(digits: Column) -> Column:
@@ -67,7 +68,8 @@ def tax_ids(text: Column) -> Column:
     found = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, "\\D", ""))
     cnpjs = F.array_distinct(found(CNPJ))
     cpfs = F.filter(F.array_distinct(found(CPF)), lambda c: ~F.exists(cnpjs, lambda n: F.contains(n, c)))
-    return F.transform(F.concat(cnpjs, cpfs), lambda d: F.struct(d.alias("digits"), valid_tax_id(d).alias("valid"), F.when(valid_tax_id(d), 1.0).otherwise(0.55).alias("confidence")))
+    checked = F.transform(F.concat(cnpjs, cpfs), lambda d: F.struct(d.alias("digits"), valid_tax_id(d).alias("valid")))
+    return F.transform(checked, lambda x: F.struct(x["digits"].alias("digits"), x["valid"].alias("valid"), F.when(x["valid"], 1.0).otherwise(0.55).alias("confidence")))
 
 
 def provenance_label(page: Column, table: Column, row: Column, column: Column) -> Column:
