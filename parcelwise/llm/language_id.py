@@ -74,18 +74,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for row in rows:
         if len(taken[row["lang"]]) < TRAIN_PER_LANG:
             taken[row["lang"]].append(row["bits"])
-    bits = np.array([np.frombuffer(x, np.uint8) for lang in langs for x in taken[lang]])
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    bits = [np.frombuffer(x, np.uint8) for lang in langs for x in taken[lang]]
     y = np.repeat(np.arange(len(langs)), [len(taken[lang]) for lang in langs])
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    z = x[np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int)]
+
+    def unpacked(rows: list[np.ndarray]) -> np.ndarray:
+        x = np.unpackbits(np.array(rows), axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    z = unpacked([bits[k] for k in np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int)])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     large = values > 1e-6 * values.max() if values.max() > 0 else np.zeros(len(values), bool)
     whiten = vectors[:, large] / np.sqrt(values[large])
-    features = (x @ z.T) @ whiten
+    kernel = np.concatenate([unpacked(bits[k : k + ROWS_AT_ONCE]) @ z.T for k in range(0, len(bits), ROWS_AT_ONCE)])
+    features = kernel @ whiten
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    weights = np.linalg.solve(features.T @ features + RIDGE * len(x) * np.eye(features.shape[1]), features.T @ target)
-    return langs, (z.T @ (whiten @ weights)).astype(np.float32)
+    weights = np.linalg.solve(features.T @ features + RIDGE * len(bits) * np.eye(features.shape[1]), features.T @ target)
+    return langs, (z.T @ (whiten @ weights).astype(np.float32)).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
