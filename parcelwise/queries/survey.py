@@ -138,12 +138,12 @@ def between_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule that the derived tables feed, over all pairs."""
-    a, b = _ab(spark, sf_dir)
-    pairs = matching.match_vertices(a, b).select("pair", "idx_a", "idx_b", "method")
+    """Every rule that the derived tables feed, over all pairs. What several rules read is made once and kept (in memory or on disk)."""
+    a, b = (x.persist() for x in _ab(spark, sf_dir))
+    pairs = matching.match_vertices(a, b).select("pair", "idx_a", "idx_b", "method").persist()
     points = matching.paired_points(pairs, a, b)
     fits = matching.systematic(matching.helmert(points))
-    totals = _totals(spark, sf_dir)
+    totals = _totals(spark, sf_dir).persist()
     wide = _wide(totals)
     counts = wide.select("pair", F.col("vertices_a").alias("na"), F.col("vertices_b").alias("nb"))
     d = declared(spark, sf_dir).withColumn("role", F.lit("A"))
