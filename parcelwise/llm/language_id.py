@@ -8,7 +8,8 @@ matrix. Every whole text is scored; only the fit uses a sample: of each language
 MAX_LANGS most frequent languages, chosen by a hash of doc_id.
 
 A null text or one without a letter is "und" with score 0, and so is everything if nothing can be learned (an empty
-table, or no labelled row). Repeated rows get equal results; ties between languages go to the first in order. Only
+table, or no labelled row). keep_identified judges by two measures whose least values are calibrated on held-out labelled
+texts: the gap between the two best margins, and how much of a text's n-grams the landmarks hold. Repeated rows get equal results; ties between languages go to the first in order. Only
 doc_id, text and lang are read, and doc_id and lang only to choose and label training rows.
 """
 
@@ -24,6 +25,8 @@ from parcelwise.llm.common import map_batches, text_of, texts_utf8
 FEATURES = 1 << 16
 #: Bounds of the training sample, and of the Nyström landmarks among it; ridge penalty; documents scored at once.
 TRAIN_PER_LANG, MAX_LANGS, LANDMARKS, RIDGE, ROWS_AT_ONCE = 400, 64, 256, 1e-3, 64
+#: Held-out texts of each language (about) that calibrate keep_identified; fewer than LEAST_HELD_OUT in all tell no threshold; share of them that may fall below each.
+HELD_OUT_PER_LANG, LEAST_HELD_OUT, MISSED = 1000, 100, 0.001
 
 
 def presence(texts: list[bytes]) -> np.ndarray:
@@ -51,11 +54,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the matrix (FEATURES x languages) that scores presence rows. Held-out rows take no part."""
+    return train(docs, id_col, text_col, lang_col)[:2]
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray, np.ndarray, dict[str, int]]:
+    """What fit() returns, the features (0/1) that any landmark holds, and the number of rows of each language."""
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
-        return [], np.zeros((FEATURES, 0), np.float32)
+        return [], np.zeros((FEATURES, 0), np.float32), np.zeros(FEATURES, np.float32), {}
     langs = sorted(r["lang"] for r in sizes)
     # a hash of the id below a share of its range takes about twice the wanted rows of each language; the rest is cut exactly
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * TRAIN_PER_LANG / r["count"]))]), F.col("lang"))
@@ -89,7 +97,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     features = kernel @ whiten
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weights = np.linalg.solve(features.T @ features + RIDGE * len(bits) * np.eye(features.shape[1]), features.T @ target)
-    return langs, (z.T @ (whiten @ weights).astype(np.float32)).astype(np.float32)
+    matrix = (z.T @ (whiten @ weights).astype(np.float32)).astype(np.float32)
+    return langs, matrix, (z > 0).any(0).astype(np.float32), {r["lang"]: r["count"] for r in sizes}
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,14 +130,42 @@ def _scorer(shared, kept: list[str]):
     return run
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is told with min_score at least."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
-    langs_of = _scorer(shared, [])
+def measures(texts: list[bytes], matrix: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each text: the gap between its two best margins (infinite for a single language), and the share of its features that are known; both -1 without a letter."""
+    out, columns = [np.zeros((0, 2))], np.column_stack([matrix, known])
+    for k in range(0, len(texts), ROWS_AT_ONCE):
+        x = presence(texts[k : k + ROWS_AT_ONCE]).astype(np.float32)
+        size = np.maximum(x.sum(1), 1)
+        products = x @ columns
+        margins = np.sort(products[:, :-1] / np.sqrt(size)[:, None], axis=1)
+        gap = margins[:, -1] - margins[:, -2] if margins.shape[1] > 1 else np.full(len(x), np.inf)
+        out.append(np.where([[has_letter(t)] for t in texts[k : k + ROWS_AT_ONCE]], np.column_stack([gap, products[:, -1] / size]), -1.0))
+    return np.concatenate(out)
+
+
+def calibrated(docs: DataFrame, shared, sizes: dict[str, int], id_col: str, text_col: str, lang_col: str) -> np.ndarray:
+    """The least gap and share: MISSED of the held-out labelled texts lie below each. Both 0 where there are too few such texts."""
+    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # sizes count the other three quarters of the ids
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * HELD_OUT_PER_LANG / n))]), F.col("lang"))
+    chosen = named.filter(held_out("id") & F.col("lang").isin(list(sizes)) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in measures(texts_utf8(batch), *shared.value).T], ["gap", "share"])
+
+    found = np.array([tuple(r) for r in map_batches(chosen.select("text"), run, "gap double, share double").filter("share >= 0").collect()])
+    return np.quantile(found, MISSED, axis=0, method="lower") if len(found) >= LEAST_HELD_OUT else np.zeros(2)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is told as surely as that of held-out labelled texts."""
+    langs, matrix, known, sizes = train(docs, id_col, text_col, lang_col)
+    if not langs:
+        return docs.filter(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast((matrix, known))
+    least = calibrated(docs, shared, sizes, id_col, text_col, lang_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        told = langs_of(pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"]))
-        keep = [lang != "und" and score >= min_score for lang, score in zip(told.column("lang_pred").to_pylist(), told.column("score").to_pylist())]
-        return batch.filter(pa.array(keep, pa.bool_()))
+        return batch.filter(pa.array((measures(texts_utf8(batch, text_col), *shared.value) >= least).all(1), pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
