@@ -110,6 +110,48 @@ def test_passages_inside_lines_go_but_first(make):
             assert sum(len(c.split()) for c in cut) >= 35 and all(flat(c) in flat(f"begin {passage} end") for c in cut)
 
 
+def test_only_passages_that_stand_earlier_as_a_whole_go(make):
+    r = random.Random(11)
+    few = prose(5, 40).split()
+    texts = [(k, " ".join(r.choice(few) for _ in range(300))) for k in range(40)]  # all short units stand somewhere earlier, no 16 words in a row do
+    copied = " ".join(texts[3][1].split()[50:150])
+    texts.append((40, " ".join(r.choice(few) for _ in range(60)) + " " + copied + " " + " ".join(r.choice(few) for _ in range(60))))
+    out = {x.doc_id: x for x in substring_dedup.remove_repeats(make(texts), spans_col="gone").collect()}
+    for k, text in texts[:-1]:
+        assert out[k].text == text and out[k].gone == []
+    text = texts[-1][1].encode()
+    cut = [text[s.start : s.end].decode() for s in out[40].gone]
+    assert len(cut) == 1 and cut[0] in copied and len(cut[0].split()) > 70
+
+
+@pytest.mark.parametrize("min_words", [4, 16])
+def test_removed_units_against_brute_force(min_words):
+    r = random.Random(3)
+    few = prose(6, 30).split()
+    for _ in range(30):
+        a, b = ([r.choice(few) for _ in range(r.randrange(1, 120))] for _ in range(2))
+        at = r.randrange(len(b))
+        b = b[:at] + a[r.randrange(len(a)) :][: r.randrange(60)] + b[at:]
+        old, new = " ".join(a).encode(), " ".join(b).encode()
+
+        def spans(text):
+            sizes = substring_dedup.units(text)[1]
+            return np.concatenate([[0], np.cumsum(sizes)]).tolist()
+
+        plain = lambda w, x, y: tuple(v.lower().strip(".") for v in w[x:y])
+        edges, cuts = spans(old), spans(new)
+        known = {plain(a, x, y) for x in edges for y in edges if y - x >= min_words}
+        gone = set()
+        for i, x in enumerate(cuts):
+            for y in cuts[i:]:
+                if y - x >= min_words and (plain(b, x, y) in known or any(plain(b, u, u + y - x) == plain(b, x, y) for u in cuts[:i] if u + y - x in cuts)):
+                    gone |= set(range(x, y))
+        hashes, sizes, starts, ends = substring_dedup.units(new)
+        found = substring_dedup.removed_spans(new, substring_dedup.sequences(*substring_dedup.units(old)[:2], min_words)[0], min_words)
+        words = [m for k, m in enumerate(np.cumsum([0] + [len(w) + 1 for w in b[:-1]]))]
+        assert {k for k, at in enumerate(words) if any(s <= at < e for s, e in found)} == gone
+
+
 def test_substring_dedup_of_odd_rows(make, odd):
     docs = make(odd)
     out = substring_dedup.remove_repeats(docs)
