@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 
 from parcelwise.llm.common import text_of, texts_utf8
 
-#: Documents in one shard of the index; distinct terms of a seed that are searched; words whose ids a worker keeps.
-SHARD_DOCS, QUERY_TERMS, KEPT_WORDS = 1024, 24, 600_000
+#: Documents in one shard of the index; words whose ids a worker keeps.
+SHARD_DOCS, KEPT_WORDS = 1024, 600_000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -89,9 +89,8 @@ class Index:
         self.docs = len(docs)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a searched term with the seed, best first."""
-        a, b = self.query_ends[seed], self.query_ends[seed + 1]
-        terms = self.query_terms[a : min(b, a + QUERY_TERMS)]
+        """Unused documents that share a term with the seed, best first by the BM25 of all its terms."""
+        terms = self.query_terms[self.query_ends[seed] : self.query_ends[seed + 1]]
         if not len(terms):
             return terms
         spans = [slice(self.posting_ends[t], self.posting_ends[t + 1]) for t in terms]

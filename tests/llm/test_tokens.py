@@ -116,3 +116,21 @@ def test_chunks_tokenise_as_the_whole_text(text):
 def test_retrieval_prefers_shared_rare_terms():
     docs = [np.array(x, "<u4") for x in ([5, 6, 7, 1], [8, 9, 1], [5, 6, 10, 1], [11, 12, 1])]
     assert packing.Index(docs).neighbours(0, np.array([True, False, False, False]))[0] == 2
+
+
+def test_all_terms_of_a_seed_count():
+    r = np.random.default_rng(4)
+    docs = [np.concatenate([r.choice(400, 120, replace=False) + 10, [1]]).astype("<u4") for _ in range(60)]
+    docs.append(np.array([*docs[0][:90], 1], "<u4"))
+    sets, mean = [set(x.tolist()) for x in docs], np.mean([len(x) for x in docs])
+    frequency = {t: sum(t in s for s in sets) for t in sets[0]}
+
+    def score(k):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[k]) / mean)
+        return sum(np.log1p((len(docs) - f + 0.5) / (f + 0.5)) * (packing.K1 + 1) / (1 + norm) for t, f in frequency.items() if t in sets[k])
+
+    used = np.arange(len(docs)) == 0
+    found = packing.Index(docs).neighbours(0, used)
+    assert found[0] == 60 and sorted(found) == list(range(1, 61))
+    scores = [score(k) for k in found]
+    assert all(a >= b - 1e-9 for a, b in zip(scores, scores[1:]))
