@@ -8,23 +8,26 @@ words. A sequence is known by a 64-bit digest of its words (ASCII lower case, pu
 globally; the occurrence of least rank (doc_id, then place) is the one to keep. A sequence that occurs earlier as a whole is
 removed; every removed word lies in one. Both directions are needed: together they cover each unit of any longer run.
 
-Digests are aggregated to the repeated ones with their least doc_id, and then joined to the sequences of larger doc_id; both steps
-are safe for hot sequences (partial aggregation, a join that AQE can split). What goes to one task is at most one document's own.
+A line or paragraph of MIN_WORDS words or more that is a copy as a whole is thus removed as a whole, as lines end units.
+
+Digests of all documents are written once, aggregated to the repeated ones with their least doc_id, and then joined to the sequences
+of larger doc_id; both steps are safe for hot sequences (partial aggregation, a join that AQE can split). What goes to one task is at
+most one document's own.
 
 A null text stays null, an empty one empty. Rows that share doc_id count as one document; a null doc_id ranks last. A
-document that is a whole copy loses its text and stays as a row. An empty table gives an empty one. All columns of the
-input are returned, whatever their names; own ones carry the prefix ``_substring_dedup_``.
+document of MIN_WORDS words or more that is a whole copy loses its text and stays as a row; a shorter one is left as it is. An
+empty table gives an empty one. All columns of the input are returned, whatever their names, but for one of the name of spans_col, which the
+spans replace; own ones carry the prefix ``_substring_dedup_``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import CACHE_ENTRIES, map_batches, stored, text_of, texts_utf8
+from parcelwise.llm.common import HashedWords, cut_lineage, map_batches, map_rows, quoted, remove, stored, text_of, texts_utf8, without_column, worker_cache
 
 ANCHOR, MIN_WORDS = 5, 16
 LAST = (1 << 63) - 1
@@ -34,17 +37,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Words(dict):
-    """word (bytes) -> hash of its normal form; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.lower().strip(b".,;:!?\"'()[]|-"))
-        return value
-
-
-_words = _Words()
+def _normal(word: bytes) -> bytes:
+    return word.lower().strip(b".,;:!?\"'()[]|-")
 
 
 def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +51,7 @@ def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, none
-    hashes = np.fromiter(map(_words.__getitem__, text.split()), np.uint64, n)
+    hashes = np.fromiter(map(worker_cache(_normal, lambda: HashedWords(_normal)).__getitem__, text.split()), np.uint64, n)
     cut = hashes % np.uint64(ANCHOR) == 0
     line = np.searchsorted(np.flatnonzero(chars == 10), starts)
     cut[:-1] |= line[1:] != line[:-1]
@@ -123,31 +117,36 @@ def repeated_sequences(docs: DataFrame, min_words: int, id_col: str, text_col: s
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(doc, pa.int64())], ["digest", "doc"])
 
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc")
-    here = map_batches(docs.select(rank, text_of(text_col).alias("text")), run, "digest long, doc long")
+    here, here_path = stored(map_batches(docs.select(rank, text_of(text_col).alias("text")), run, "digest long, doc long"))
     firsts = here.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows"))
-    firsts, _ = stored(firsts.filter(F.col("rows") > 1).select("digest", "first"))
+    firsts, firsts_path = stored(firsts.filter(F.col("rows") > 1).select("digest", "first"))
     later = here.join(firsts, "digest").filter(F.col("doc") > F.col("first"))
-    return later.groupBy("doc").agg(F.collect_set("digest").alias("earlier"))
+    found = cut_lineage(later.groupBy("doc").agg(F.collect_set("digest").alias("earlier")))
+    for path in (here_path, firsts_path):
+        remove(docs.sparkSession, path)
+    return found
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
     """docs with text_col rewritten; with spans_col, a further column lists what was removed: start and end as offsets in bytes of the UTF-8 text before."""
+    docs = docs.select(*[quoted(c) for c in without_column(docs.columns, spans_col)])
     repeats = repeated_sequences(docs, min_words, id_col, text_col)
     repeats = repeats.select(F.col("doc").alias(P + "doc"), F.col("earlier").alias(P + "earlier"))
     joined = docs.join(repeats, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col(P + "doc"), "left").drop(P + "doc")
-    names = docs.columns
+    of_text = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans = [], []
-        for text, earlier in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(P + "earlier")):
+        for text, earlier in zip(batch.column(of_text).cast(pa.binary()).to_pylist(), batch.columns[-1]):
             known = np.zeros(0, np.int64) if not earlier.is_valid else earlier.values.to_numpy()
             gone = removed_spans(text, known, min_words) if text else []
             texts.append(without(text, gone) if gone else text)
             spans.append([{"start": a, "end": b} for a, b in gone])
-        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in names]
+        columns = batch.columns[:-1]
+        columns[of_text] = pa.array(texts, pa.binary()).cast(pa.string())
         if spans_col:
             columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-        return pa.RecordBatch.from_arrays(columns, names + [spans_col] * bool(spans_col))
+        return pa.RecordBatch.from_arrays(columns, [f"_{k}" for k in range(len(columns))])
 
     out = docs.schema if not spans_col else docs.withColumn(spans_col, F.lit(None).cast("array<struct<start: long, end: long>>")).schema
-    return map_batches(joined, run, out)
+    return map_rows(joined, run, out)
