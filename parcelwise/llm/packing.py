@@ -13,19 +13,21 @@ bits, so a task that runs again gives the same ids.
 
 from __future__ import annotations
 
-import functools
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelwise.llm.common import text_of, texts_utf8
+from parcelwise.llm.common import text_of, texts_utf8, worker_cache
 
 #: Documents in one shard of the index; words whose ids a worker keeps.
 SHARD_DOCS, KEPT_WORDS = 1024, 600_000
@@ -37,17 +39,39 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(dict):
     """white-space separated chunk (bytes, ASCII in lower case) -> its token ids (unsigned 32-bit, little-endian).
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row. A chunk
+    of printable ASCII and Latin letters is what its pieces (by the tokenizer's own pattern) are; they go to the tokenizer's model
+    one by one and are kept. Any other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, content: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_str(content)
+        self.model = self.tokenizer.model
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = regex.compile(json.loads(content)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # the byte-level alphabet: a byte that prints in Latin-1 is itself, the others follow from 256 on in order
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.shown = [chr(256 + hidden.index(b) if b in hidden else b) for b in range(256)]
+
+    def _piece(self, piece: str) -> bytes:
+        name = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode()))
+        return array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
+
+    def _ids(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            return self._piece(chunk.decode())
+        text = chunk.decode().lower()
+        if text[-1] in ".," and text[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        if not text.isprintable() or max(text) >= "\u0250":
+            return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        if text.isalpha():  # precomposed, so normal forms change nothing
+            return self._piece(text)
+        return b"".join(self[x.encode()] if x.isalpha() else self._piece(x) for x in self.pieces(text))
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in b".," and chunk[:-1].isalpha():  # ASCII letters, then one mark
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._ids(chunk)
         if len(chunk) <= 64:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -55,16 +79,13 @@ class WordIds(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
-def word_ids(content: str) -> WordIds:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True
-    return WordIds(tokenizer)
-
-
 def encode_ids(words: WordIds, text: bytes, end_id: int) -> np.ndarray:
-    return np.frombuffer(b"".join(map(words.__getitem__, text.lower().split())) + np.uint32(end_id).tobytes(), dtype="<u4")
+    """ids of the text and the end token; a text that holds a special token's name goes whole through the tokenizer, which tells it."""
+    if any(x in text for x in words.special):
+        ids = np.array(words.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    else:
+        ids = b"".join(map(words.__getitem__, text.lower().split()))
+    return np.frombuffer(ids + np.uint32(end_id).tobytes(), dtype="<u4")
 
 
 class Index:
@@ -72,20 +93,19 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray]) -> None:
         lengths = np.array([len(x) for x in docs])
-        terms = np.concatenate(docs).astype(np.int64)
-        of = np.repeat(np.arange(len(docs)), lengths)
-        keys, counts = np.unique((of << 32) | terms, return_counts=True)
-        doc, term = keys >> 32, keys & 0xFFFFFFFF
-        _, term, frequency = np.unique(term, return_inverse=True, return_counts=True)
+        terms, of = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.uint64), lengths)
+        bits = int(terms.max()).bit_length()
+        keys = (of << np.uint64(bits)) | terms
+        keys, counts = np.unique(keys.astype(np.uint32) if bits + len(docs).bit_length() <= 32 else keys, return_counts=True)
+        doc, term = (keys >> keys.dtype.type(bits)).astype(np.int64), (keys & keys.dtype.type((1 << bits) - 1)).astype(np.int64)
+        frequency = np.bincount(term)
         idf = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5))
         weight = idf[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if bits <= 16 else term, kind="stable")
         self.posting_docs, self.posting_weights = doc[order], weight[order]
         self.posting_ends = np.concatenate([[0], np.cumsum(frequency)])
         shared = frequency[term] > 1
-        doc, term, weight = doc[shared], term[shared], weight[shared]
-        order = np.lexsort((-weight, doc))
-        self.query_terms, self.query_ends = term[order], np.searchsorted(doc[order], np.arange(len(docs) + 1))
+        self.query_terms, self.query_ends = term[shared], np.searchsorted(doc[shared], np.arange(len(docs) + 1))
         self.docs = len(docs)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
@@ -170,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(content.value)
+        words = worker_cache(content.value, lambda: WordIds(content.value))
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), texts_utf8(batch)

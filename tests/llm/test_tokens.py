@@ -77,9 +77,7 @@ def test_length_histogram(make, odd):
 
 @pytest.fixture(scope="module")
 def words():
-    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def check_packing(pieces, texts, tokenizer):
@@ -106,11 +104,19 @@ def test_packing_of_odd_rows(make, odd, words):
     assert packing.pack(make([]), path).count() == 0
 
 
-@given(st.text(max_size=60))
-@settings(max_examples=200, deadline=None)
-def test_chunks_tokenise_as_the_whole_text(text):
-    tokenizer = packing.word_ids(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
-    assert packing.encode_ids(tokenizer, text.encode(), 1).tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+@pytest.fixture(scope="module")
+def word_ids():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return packing.WordIds(file.read())
+
+
+CHUNKS = ["it's", "We'll", "a<|endoftext|>b", "<|startoftext|>", "<|EndOfText|>", "é.", "É,", "a!.", "x..", "İ.", "ß,b", "№5.", "e\u0301a.", "12,5", "naïve***", "漢字.", "ﬁn,", "Å", "\u1e9e.", "don't.", "a_b", "ſ."]
+
+
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(CHUNKS), max_size=8).map(" ".join), st.text(alphabet="aéÉİß.,'!1 <|>", max_size=30)))
+@settings(max_examples=600, deadline=None)
+def test_chunks_tokenise_as_the_whole_text(words, word_ids, text):
+    assert packing.encode_ids(word_ids, text.encode(), 1).tolist() == words.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_retrieval_prefers_shared_rare_terms():
