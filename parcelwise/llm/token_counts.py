@@ -2,7 +2,8 @@
 
 Every text is encoded once and counted by its length; suffix sums over the histogram then answer totals, quantiles and
 truncated totals for every context limit without reading a text again. The sums are taken in two levels (blocks of
-lengths, then lengths within a block), so no task holds more than BLOCK lengths or the list of blocks.
+lengths, then lengths within a block), so no task holds more than BLOCK lengths or the list of blocks, which is one
+task's: a row for each BLOCK of lengths up to the longest text, however many texts there are.
 
 A null or empty text has length 0. Repeated rows count each time. An empty table gives an empty histogram. Only the
 named text column is read, so other columns may have any name.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.byte_bpe import compiled
-from parcelwise.llm.common import map_batches, text_of, texts_str
+from parcelwise.llm.common import cut_lineage, map_batches, text_of, texts_str
 
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
@@ -34,8 +35,8 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: st
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, docs."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    """n_tokens, docs; written once (a row for each length that occurs), so that what reads it several times doesn't encode again."""
+    return cut_lineage(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
