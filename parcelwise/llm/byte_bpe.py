@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import CACHE_ENTRIES, map_batches, text_of, texts_str
+from parcelwise.llm.common import map_batches, text_of, texts_str
 
-#: States a transducer keeps before it starts anew, and the longest piece whose tokens are kept.
-MAX_STATES, MAX_KEPT = 150_000, 64
+#: States, pairs of tokens and pieces that are kept before each starts anew, and the longest piece whose tokens are kept.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_KEPT = 150_000, 800_000, 400_000, 64
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -110,7 +110,7 @@ class Transducer:
         if left < 0:
             return self._whole(right)
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= 2 * CACHE_ENTRIES:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             known = self._whole(left) and self._whole(right)
             ranks = self.ranks
@@ -181,7 +181,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = little_endian(self.transducer.encode(piece.encode()))
         if len(piece) <= MAX_KEPT:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= MAX_PIECES:
                 self.clear()
             self[piece] = ids
         return ids
@@ -232,11 +232,15 @@ class Encoder:
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
+    def decoded(self, ids: list[int], step: int = 4096):
+        """Bytes of each step ids, cut wherever their tokens end."""
+        for k in range(0, len(ids), step):
+            yield self.decode_bytes(ids[k : k + step])
+
     def decode_stream(self, ids: list[int], step: int = 4096):
         """Text in chunks, each of whole characters."""
         stream = Utf8Stream()
-        for k in range(0, len(ids), step):
-            yield stream.feed(self.decode_bytes(ids[k : k + step]))
+        yield from map(stream.feed, self.decoded(ids, step))
         if rest := stream.finish():
             yield rest
 
@@ -275,7 +279,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every text encoded and decoded again, in one pass over the texts."""
+    """id, n_tokens, ids_sha256, decoded_sha256 (of the decoded bytes) of every text encoded and decoded again, in one pass over the texts.
+
+    The bytes also go through the incremental UTF-8 decoder; if its characters are not those of the text, the task fails.
+    """
     with open(ranks_path, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -284,9 +291,13 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         counts, ids_sha, decoded_sha = [], [], []
         for text in texts_str(batch):
             ids = encoder.encode_bytes(text)
-            back = hashlib.sha256()
-            for chunk in encoder.decode_stream(np.frombuffer(ids, "<u4").tolist()):
-                back.update(chunk.encode())
+            back, stream, at = hashlib.sha256(), Utf8Stream(), 0
+            for raw in encoder.decoded(np.frombuffer(ids, "<u4").tolist()):
+                back.update(raw)
+                chars = stream.feed(raw)
+                if not text.startswith(chars, at):
+                    raise ValueError("decoding differs from the text")
+                at += len(chars)
             counts.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             decoded_sha.append(back.hexdigest())

@@ -4,8 +4,8 @@ The kernel of two texts is the blended-spectrum presence kernel: how many n-gram
 lower case, hashed to FEATURES cells) both have, over the root of the product of their own numbers. LANDMARKS texts of
 the training sample span a Nyström approximation; one-versus-rest kernel ridge regression is solved on its features.
 Landmarks, whitening and weights fold into one matrix, so a batch of texts is scored by one product of its presence
-matrix. Every whole text is scored; only the fit uses a sample: of each language TRAIN_PER_LANG texts at most, of the
-MAX_LANGS most frequent languages, chosen by a hash of doc_id.
+matrix. Every whole text is scored; only the fit uses a sample, chosen by a hash of doc_id: of each language TRAIN_PER_LANG texts at
+most, and fewer (LEAST_PER_LANG at least) where there are so many languages that these would exceed TRAIN_ROWS.
 
 A null text or one without a letter is "und" with score 0, and so is everything if nothing can be learned (an empty
 table, or no labelled row). keep_identified judges by two measures whose least values are calibrated on held-out labelled
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import map_batches, text_of, texts_utf8
+from parcelwise.llm.common import map_batches, map_rows, text_of, texts_utf8
 
 FEATURES = 1 << 16
 #: Bounds of the training sample, and of the Nyström landmarks among it; ridge penalty; documents scored at once.
-TRAIN_PER_LANG, MAX_LANGS, LANDMARKS, RIDGE, ROWS_AT_ONCE = 400, 64, 256, 1e-3, 64
+TRAIN_PER_LANG, LEAST_PER_LANG, TRAIN_ROWS, LANDMARKS, RIDGE, ROWS_AT_ONCE = 400, 8, 8000, 256, 1e-3, 64
 #: Held-out texts of each language (about) that calibrate keep_identified; fewer than LEAST_HELD_OUT in all tell no threshold; share of them that may fall below each.
 HELD_OUT_PER_LANG, LEAST_HELD_OUT, MISSED = 1000, 100, 0.001
 
@@ -61,12 +61,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
     """What fit() returns, the features (0/1) that any landmark holds, and the number of rows of each language."""
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = named.groupBy("lang").count().collect()
     if not sizes:
         return [], np.zeros((FEATURES, 0), np.float32), np.zeros(FEATURES, np.float32), {}
     langs = sorted(r["lang"] for r in sizes)
+    each = min(TRAIN_PER_LANG, max(LEAST_PER_LANG, TRAIN_ROWS // len(langs)))
     # a hash of the id below a share of its range takes about twice the wanted rows of each language; the rest is cut exactly
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * TRAIN_PER_LANG / r["count"]))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * each / r["count"]))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = named.filter(F.col("lang").isin(langs)).withColumn("drawn", drawn).filter(F.col("drawn") < share)
 
@@ -77,11 +78,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
             bits += [x.tobytes() for x in np.packbits(presence(texts[k : k + ROWS_AT_ONCE]), axis=1)]
         return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("drawn"), pa.array(bits, pa.binary())], ["lang", "drawn", "bits"])
 
-    rows = map_batches(chosen.select("text", "lang", "drawn"), run, "lang string, drawn double, bits binary").orderBy("drawn", "lang", "bits").limit(2 * TRAIN_PER_LANG * len(langs)).collect()
+    rows = map_batches(chosen.select("text", "lang", "drawn"), run, "lang string, drawn double, bits binary").orderBy("drawn", "lang", "bits").limit(3 * each * len(langs)).collect()
     taken: dict[str, list[bytes]] = {lang: [] for lang in langs}
     for row in rows:
-        if len(taken[row["lang"]]) < TRAIN_PER_LANG:
+        if len(taken[row["lang"]]) < each:
             taken[row["lang"]].append(row["bits"])
+    langs = [lang for lang in langs if taken[lang]]
     bits = [np.frombuffer(x, np.uint8) for lang in langs for x in taken[lang]]
     y = np.repeat(np.arange(len(langs)), [len(taken[lang]) for lang in langs])
 
@@ -165,7 +167,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast((matrix, known))
     least = calibrated(docs, shared, sizes, id_col, text_col, lang_col)
 
+    of_text = docs.columns.index(text_col)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array((measures(texts_utf8(batch, text_col), *shared.value) >= least).all(1), pa.bool_()))
+        return batch.filter(pa.array((measures(texts_utf8(batch, f"_{of_text}"), *shared.value) >= least).all(1), pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_rows(docs, run, docs.schema)

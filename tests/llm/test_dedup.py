@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from parcelwise.llm import jaccard_join, line_dedup, substring_dedup
+from parcelwise.llm import jaccard_join, language_id, line_dedup, substring_dedup
 
 from .conftest import prose
 
@@ -93,6 +93,20 @@ def test_line_dedup_of_odd_rows(make, odd):
     assert line_dedup.remove_spread_lines(make([])).count() == 0
 
 
+def test_clashing_names(make):
+    """A column of the name of an own result column is replaced by it; all others stay."""
+    docs = make([(k, f"{prose(k, 20)}\none line for all of them here", "en", f"s{k}") for k in range(12)])
+    docs = docs.select("*", *[docs["_x"].alias(c) for c in ("Removed_Lines", "removed", "keeper", "h1", "sites", "digest", "earlier", "first", "a.b", "x`y")])
+    out = line_dedup.remove_spread_lines(docs, count_col="removed_lines")
+    assert out.columns == [c for c in docs.columns if c != "Removed_Lines"] + ["removed_lines"]
+    assert sorted(r.removed_lines for r in out.select("removed_lines").collect()) == [0] + [1] * 11
+    out = substring_dedup.remove_repeats(docs, spans_col="removed")
+    assert out.columns == [c for c in docs.columns if c != "removed"] + ["removed"] and out.count() == 12
+    assert line_dedup.remove_spread_lines(docs).columns == docs.columns == substring_dedup.remove_repeats(docs).columns
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 12
+
+
 def test_passages_inside_lines_go_but_first(make):
     passage = prose(77, 55).replace("\n", " ")
     texts = [(k, prose(k, 40) + " begin " + (passage if k % 2 else "") + " end " + prose(100 + k, 40)) for k in range(12)]
