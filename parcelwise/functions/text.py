@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelwise.functions.let import let
 
-_MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+#: Latin letters and signs whose compatibility decomposition is one plain character besides marks; those of several characters.
+_SINGLE, _SEVERAL = {}, {}
+for _c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07)]):
+    _plain = "".join(x for x in unicodedata.normalize("NFKD", _c) if not unicodedata.combining(x))
+    if _plain != _c:
+        (_SINGLE if len(_plain) == 1 else _SEVERAL)[_c] = _plain
 #: Weights of the check digits (first and second digit of each kind).
 CPF_WEIGHTS = [[10, 9, 8, 7, 6, 5, 4, 3, 2], [11, 10, 9, 8, 7, 6, 5, 4, 3, 2]]
 CNPJ_WEIGHTS = [[5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]]
+#: The printed forms of both numbers.
 CPF = "(?<!\\d)(\\d{3}\\.?\\d{3}\\.?\\d{3}-?\\d{2})(?!\\d)"
 CNPJ = "(?<!\\d)(\\d{2}\\.?\\d{3}\\.?\\d{3}/?\\d{4}-?\\d{2})(?!\\d)"
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their marks, composed or not."""
-    return F.translate(F.regexp_replace(text, "[\\u0300-\\u036f]", ""), _MARKED, _PLAIN)
+    """Compatibility forms without their marks, composed or not, for Latin letters and signs (Spark has no normal forms)."""
+    bare = F.translate(F.regexp_replace(text, "\\p{Mn}", ""), "".join(_SINGLE), "".join(_SINGLE.values()))
+    several = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(several[c], c)), "")
+    return F.when(bare.rlike("[" + "".join(_SEVERAL) + "]"), spelled).otherwise(bare)
 
 
 def normalize_label(text: Column) -> Column:
-    """No accents, lower case, anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", " "))
+    """No accents, lower case, punctuation (the marks listed, no others) and white space as one space."""
+    plain = F.regexp_replace(F.lower(strip_accents(text)), "[.\\-_/\\\\|()\\[\\]:;,]+", " ")
+    return F.trim(F.regexp_replace(plain, "(?U)\\s+", " "))
 
 
 def collapse_spaced_letters(text: Column) -> Column:
@@ -79,5 +90,5 @@ def provenance_label(page: Column, table: Column, row: Column, column: Column) -
 
 
 def value_text(value: Column) -> Column:
-    """Six decimals at most, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", value), "\\.?0+$", "")
+    """Six decimals at most, without trailing zeros; null stays null, and what rounds to zero from below keeps its sign, as printed."""
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value), "\\.?0+$", ""))

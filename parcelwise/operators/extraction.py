@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.angles import angular_difference
-from parcelwise.functions.numbers import convention_vote
+from parcelwise.functions.numbers import convention_vote, parse_number
 from parcelwise.functions.text import normalize_label
 from parcelwise.operators.rings import preceding
 
@@ -21,6 +21,7 @@ FEW_CHARS, HYBRID_CHARS, MOST_COVERED, MANY_VECTORS, DATA_CHARS = 20, 120, 0.55,
 SOURCE_CONFIDENCE = {"table_cell": 1.0, "text_span": 0.95, "ocr": 0.70, "vision": 0.60}
 #: Labels of rows below a table, and of header groups that are no field themselves.
 FOOTERS = ["total", "totais", "perimetro", "soma", "area", "fechamento", "somatorio"]
+TABLE_FOOTERS = ["total", "totais", "perimetro", "soma", "fechamento", "somatorio"]
 GROUPS = ["coordenadas", "coordenadas utm", "coordenadas planas", "coordenadas geograficas", "coordenadas geodesicas"]
 #: Header labels of each field, as normalised labels, the specific before the general.
 HEADERS = {
@@ -70,7 +71,7 @@ def number_convention(tokens: DataFrame) -> DataFrame:
     """document, convention: the majority of votes of rows of document, pos, token; of equals the one cast first; 'ambiguous' without votes."""
     votes = tokens.select("document", "pos", convention_vote(F.col("token")).alias("vote"))
     counts = votes.groupBy("document", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    best = F.max_by("vote", F.struct(F.when(F.col("vote").isNotNull(), F.col("n")).otherwise(0).alias("n"), -F.col("first")))
+    best = F.min_by("vote", F.struct(-F.when(F.col("vote").isNotNull(), F.col("n")).otherwise(0), F.col("first")))
     return counts.groupBy("document").agg(F.coalesce(best, F.lit("ambiguous")).alias("convention"))
 
 
@@ -81,35 +82,146 @@ def consensus(values: DataFrame) -> DataFrame:
     return ranked.select("document", "field", F.get("all", F.lit(0))["value"].alias("value"), F.when(F.size("all") == 1, 1.0).otherwise(0.5).alias("confidence"), F.transform(F.slice("all", 2, 1000000), lambda x: x["value"]).alias("rivals"))
 
 
+def citations(values: DataFrame) -> DataFrame:
+    """document, field, ordinal, value, confidence: each distinct value by its first place; the one of consensus() is sure (1.0), the others are disputed (0.5)."""
+    counts = values.groupBy("document", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min_by("halfwidth", "pos").alias("halfwidth"))
+    w = Window.partitionBy("document", "field")
+    first = F.row_number().over(w.orderBy(F.desc("n"), "pos")) == 1
+    return counts.select("document", "field", F.row_number().over(w.orderBy("pos")).alias("ordinal"), "value", "halfwidth", F.when(first, 1.0).otherwise(0.5).alias("confidence"))
+
+
 def first_hits(values: DataFrame) -> DataFrame:
     """document, field, value: what stands first, by page and place."""
     return values.groupBy("document", "field").agg(F.min_by("value", F.struct("page", "pos")).alias("value"))
 
 
-def map_headers(cells: DataFrame) -> DataFrame:
-    """document, row, column, field from rows of document, row, column, text: exact labels, then contained ones (three letters or more), in the order of HEADERS.
+#: Labels of a side's two ends, which a cell may hold together.
+PAIR_LABELS = ["vertice vertice", "de para", "origem destino", "inicial final", "ponto ponto", "estaca estaca"]
+#: Rows that are scanned for a header; a header's second row stands under one of them.
+HEADER_ROWS = 5
 
-    Of a field mapped twice in a row the first column counts; the row with most fields (of equals the first) is the header.
-    """
+
+def header_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells (keys, column, text) with label, and field where one is told: exact labels, then those that contain or begin with a field's label of three letters or more, in the order of HEADERS."""
     spark = cells.sparkSession
     names = spark.createDataFrame([(field, alias, k) for k, (field, alias) in enumerate((f, a) for f, all_ in HEADERS.items() for a in all_)], "field string, alias string, rank int")
-    labelled = cells.withColumn("label", normalize_label(F.col("text"))).filter((F.col("label") != "") & ~F.col("label").isin(GROUPS))
-    contained = (F.length("alias") >= 3) & F.contains(F.concat(F.lit(" "), "label", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
-    hits = labelled.join(F.broadcast(names), (F.col("label") == F.col("alias")) | contained | ((F.length("alias") >= 3) & F.startswith("label", F.col("alias"))))
-    best = hits.groupBy("document", "row", "column").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field"))
-    once = best.groupBy("document", "row", "field").agg(F.min("column").alias("column"))
-    header = once.groupBy("document", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("document").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("row"))
-    return once.join(header, ["document", "row"])
+    labelled = cells.withColumn("label", normalize_label(F.col("text")))
+    distinct = labelled.select("label").filter((F.col("label") != "") & ~F.col("label").isin(GROUPS)).distinct()
+    contained = F.contains(F.concat(F.lit(" "), "label", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
+    hits = distinct.join(F.broadcast(names), (F.col("label") == F.col("alias")) | ((F.length("alias") >= 3) & (contained | F.startswith("label", F.col("alias")))))
+    known = hits.groupBy("label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field"))
+    return labelled.join(known, "label", "left")
+
+
+def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """What each of the first rows would be as a header, alone or read with the row below: keys, row (the last header row), two_rows, columns (field -> column), fields, confidence, code_is_pair, has_coordinates."""
+    first = cells.filter(F.col("row") < HEADER_ROWS).select(*keys, "row", "column", F.coalesce("text", F.lit("")).alias("text"))
+    last = Window.partitionBy(*keys)
+    sized = first.withColumn("last", F.max("row").over(last))
+    # a row's cell is the upper part of one merged cell and the lower part of another
+    part = lambda at, two_rows, k: F.struct(at.alias("at"), F.lit(two_rows).alias("two_rows"), F.lit(k).alias("k"))
+    parts = F.array(part(F.col("row"), False, 0), part(F.col("row") + 1, True, 0), part(F.col("row"), True, 1))
+    read = sized.select(*keys, "column", "text", "last", F.inline(parts)).filter((F.col("at") <= F.col("last")) & (~F.col("two_rows") | (F.col("at") >= 1)))
+    merged = read.groupBy(*keys, "at", "two_rows", "column").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")).alias("text"))
+    told = header_fields(merged, [*keys, "at", "two_rows"])
+    pair = F.exists(F.lit(PAIR_LABELS), lambda x: F.array_join(F.slice(F.split("label", " "), -F.least(F.lit(2), F.size(F.split("label", " "))), 2), " ") == x)
+    once = told.groupBy(*keys, "at", "two_rows", "field").agg(F.min("column").alias("column"), F.min_by(pair, "column").alias("pair"), F.count_if(F.trim("text") != "").alias("filled"))
+    known = F.col("field").isNotNull()
+    rows = once.groupBy(*keys, "at", "two_rows").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(known, F.struct("field", "column"))))).alias("columns"),
+        F.count_if(known).alias("fields"),
+        (F.count_if(known) / F.greatest(F.sum("filled"), F.lit(1))).alias("confidence"),
+        F.coalesce(F.bool_or((F.col("field") == "vertex_code") & F.col("pair")), F.lit(False)).alias("code_is_pair"),
+    ).filter("fields > 0")
+    has = lambda *names: F.size(F.array_except(F.array(*map(F.lit, names)), F.map_keys("columns"))) == 0
+    return rows.withColumnRenamed("at", "row").withColumn("has_coordinates", has("easting", "northing") | has("latitude", "longitude"))
+
+
+def map_headers(cells: DataFrame, keys: list[str], two_rows: bool = True) -> DataFrame:
+    """The header of each table, as a row of header_rows(): of single rows the one with most fields, the first of equals;
+    two rows read together replace it if they are richer, in coordinates first and in number of fields then."""
+    rows = header_rows(cells, keys)
+    if not two_rows:
+        rows = rows.filter("NOT two_rows")
+    value = lambda *order: F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order))
+    of_kind = rows.groupBy(*keys, "two_rows").agg(F.when(F.col("two_rows"), value("has_coordinates", "fields", -F.col("row"))).otherwise(value("fields", -F.col("row"))).alias("h"))
+    best = of_kind.groupBy(*keys).agg(F.max_by("h", F.struct("h.has_coordinates", "h.fields", ~F.col("h.two_rows"))).alias("h"))
+    return best.select(*keys, "h.*")
 
 
 def is_footer(label: Column) -> Column:
-    return label.isin(FOOTERS) | label.rlike("^(" + "|".join(FOOTERS) + ")\\b")
+    return label.rlike("^(" + "|".join(FOOTERS) + ")")
+
+
+def is_data_row(tokens: Column) -> Column:
+    """Whether a row of words holds data: a footer's label in front, or two words or more with a number and three digits in all."""
+    numbers = F.filter(tokens, lambda t: parse_number(t).isNotNull() & (F.length(F.regexp_replace(t, "\\D", "")) >= 3))
+    return (F.size(tokens) > 0) & (normalize_label(F.get(tokens, F.lit(0))).isin(TABLE_FOOTERS) | (F.size(numbers) >= 2))
+
+
+def row_fields(tokens: Column) -> Column:
+    """The fields that a row of words names: one to three words in a row are taken as a label."""
+    tests = [(field, alias) for field, all_ in HEADERS.items() for alias in all_]
+    exact = F.create_map(*[F.lit(x) for field, alias in reversed(tests) for x in (alias, field)])
+
+    def field(label: Column) -> Column:
+        near = F.coalesce(*[F.when(label.startswith(a) | F.contains(F.concat(F.lit(" "), label, F.lit(" ")), F.lit(f" {a} ")), f) for f, a in tests if len(a) >= 3])
+        return F.when((label != "") & ~label.isin(GROUPS), F.coalesce(F.try_element_at(exact, label), near))
+
+    def windows(n: int) -> Column:
+        labels = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda k: normalize_label(F.array_join(F.slice(tokens, k, n), " ")))
+        return F.when(F.size(tokens) >= n, labels).otherwise(F.array().cast("array<string>"))
+
+    labels = F.concat(windows(3), windows(2), windows(1))
+    return F.array_distinct(F.filter(F.transform(labels, field), lambda x: x.isNotNull()))
+
+
+def table_bands(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """keys, first, last (places): word rows (keys, row, tokens) that begin with a header of one or two rows (two fields or more in each), go on with data and have least rows or more; of overlapping ones the first."""
+    w = Window.partitionBy(*keys).orderBy("row")
+    told = rows.select(*keys, (F.row_number().over(w) - 1).alias("at"), (F.size(row_fields(F.col("tokens"))) >= 2).alias("header"), is_data_row(F.col("tokens")).alias("data"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    told = told.withColumns({"stop": F.min(F.when(~F.col("data"), F.col("at"))).over(w.rowsBetween(0, Window.unboundedFollowing)), "rows": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    second = F.coalesce(F.lead("header").over(w), F.lit(False))
+    told = told.withColumn("end", F.coalesce(F.when(second, F.lead("stop", 2).over(w)).otherwise(F.lead("stop").over(w)), F.col("rows")))
+    found = told.filter(F.col("header") & (F.col("end") - F.col("at") >= least)).groupBy(*keys)
+    found = found.agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("end") - 1).cast("int").alias("last")))).alias("all"))
+    apart = F.aggregate("all", F.slice("all", 1, 1), lambda kept, x: F.when(F.element_at(kept, -1)["last"] < x["first"], F.concat(kept, F.array(x))).otherwise(kept))
+    return found.select(*keys, F.inline(apart))
+
+
+def hull(boxes: DataFrame, keys: list[str], padding: float = 0.0) -> DataFrame:
+    """keys, x0, top, x1, bottom around the boxes of each key."""
+    return boxes.groupBy(*keys).agg((F.min("x0") - padding).alias("x0"), (F.min("top") - padding).alias("top"), (F.max("x1") + padding).alias("x1"), (F.max("bottom") + padding).alias("bottom"))
+
+
+def distinct_tables(tables: DataFrame) -> DataFrame:
+    """Tables (document, page, index, x0, top, x1, bottom, rows, columns) of three rows and two columns or more; of those with the same rounded box, the first."""
+    box = [F.round(c).cast("long").alias(f"_{c}") for c in ("x0", "top", "x1", "bottom")]
+    large = tables.filter("rows >= 3 AND columns >= 2").select("*", *box)
+    first = Window.partitionBy("document", "page", "_x0", "_top", "_x1", "_bottom").orderBy("index")
+    return large.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "_x0", "_top", "_x1", "_bottom")
+
+
+def first_success(tables: DataFrame) -> DataFrame:
+    """Tables of each page up to the first strategy (by its rank) that found coordinates; all where none did."""
+    w = Window.partitionBy("document", "page")
+    least = F.min(F.when(F.col("has_coordinates"), F.col("rank"))).over(w)
+    return tables.withColumn("_least", least).filter("_least IS NULL OR rank <= _least").drop("_least")
+
+
+def best_table(tables: DataFrame, score: str = "score") -> DataFrame:
+    """The table of highest score with coordinates of each document, the first of equals (page, index)."""
+    w = Window.partitionBy("document").orderBy(F.desc(score), "page", "index")
+    return tables.filter("has_coordinates").withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def is_data_row(tokens: Column, first_label: Column) -> Column:
-    """Whether a row of words holds data: a footer label in front, or two numbers of three digits or more."""
-    numbers = F.filter(tokens, lambda t: t.rlike("^[-+]?\\d[\\d.,]*$") & (F.length(F.regexp_replace(t, "\\D", "")) >= 3))
-    return first_label.isin(FOOTERS) | (F.size(numbers) >= 2)
+def magnitudes_agree(anchors: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """keys whose samples (keys, column, value) lie in the columns of the anchors, within 5 km or 2 % of each column's mean."""
+    mean = anchors.groupBy(*keys, "column").agg(F.avg("value").alias("mean"))
+    both = mean.join(samples.groupBy(*keys, "column").agg(F.collect_list("value").alias("values")), [*keys, "column"], "full")
+    far = F.exists("values", lambda v: F.abs(v - F.col("mean")) > F.greatest(F.lit(5000.0), 0.02 * F.greatest(F.abs("mean"), F.lit(1.0))))
+    return both.groupBy(*keys).agg(F.bool_and(F.coalesce(~far, F.lit(False))).alias("agree")).filter("agree").select(*keys)
 
 
 def stitch_pages(tables: DataFrame) -> DataFrame:
@@ -125,19 +237,21 @@ def stitch_pages(tables: DataFrame) -> DataFrame:
     return islands.select("document", "page", "island", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_offset"))
 
 
-def column_boundaries(words: DataFrame, gap: float = 12.0, least: int = 2) -> DataFrame:
-    """document, page, boundary, support: clusters of left edges (x0) parted by gaps over gap, met least times or more."""
+def column_boundaries(words: DataFrame, gap: float = 12.0) -> DataFrame:
+    """document, page, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the page's rows (words have row)."""
     w = Window.partitionBy("document", "page").orderBy("x0")
     new = F.when(F.col("x0") - F.lag("x0").over(w) > gap, 1).otherwise(0)
     clusters = words.withColumn("new", new).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return clusters.groupBy("document", "page", "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least).drop("cluster")
+    found = clusters.groupBy("document", "page", "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support"))
+    rows = words.groupBy("document", "page").agg(F.count_distinct("row").alias("rows"))
+    return found.join(rows, ["document", "page"]).filter(F.col("support") >= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))).drop("cluster", "rows")
 
 
 def assign_columns(words: DataFrame, boundaries: DataFrame, reach: float = 12.0) -> DataFrame:
-    """words with column: the last boundary at or left of the word, give or take reach. A page has few boundaries, gathered in one array."""
+    """words with column: the nearest boundary at or left of the word, give or take reach, the first of equals. A page has few boundaries, gathered in one array."""
     lists = boundaries.groupBy("document", "page").agg(F.array_sort(F.collect_list("boundary")).alias("edges"))
-    at = F.greatest(F.size(F.filter("edges", lambda b: b <= F.col("x0") + reach)) - 1, F.lit(0))
-    return words.join(lists, ["document", "page"]).withColumn("column", at).drop("edges")
+    near = F.transform("edges", lambda b, k: F.struct(F.when(b <= F.col("x0") + reach, F.abs(F.col("x0") - b)).otherwise(F.lit(float("inf"))).alias("distance"), k.alias("k")))
+    return words.join(lists, ["document", "page"]).withColumn("column", F.array_min(near)["k"]).drop("edges")
 
 
 def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
@@ -157,12 +271,13 @@ def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
     return words.groupBy("document", "page").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", row int")
 
 
-def side_convention(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, convention from rows of keys, idx, azimuth (computed), declared: whether a row's side leaves its vertex or leads to it.
+def side_convention(rows: DataFrame, keys: list[str], declared: str = "declared") -> DataFrame:
+    """rows (keys, idx, azimuth as computed, declared) with convention: whether a row's side leaves its vertex or leads to it.
 
     'trailing' iff the mean difference one row earlier is under half of that at the row itself, over two values or more.
     """
-    gap = lambda x: F.abs(angular_difference(F.col("declared"), x))
-    both = rows.withColumn("back", preceding("azimuth", keys))
-    g = both.groupBy(*keys).agg(F.avg(gap(F.col("azimuth"))).alias("leading"), F.avg(gap(F.col("back"))).alias("trailing"), F.count("declared").alias("n"))
-    return g.select(*keys, F.when((F.col("n") >= 2) & (F.col("trailing") < 0.5 * F.col("leading")), "trailing").otherwise("leading").alias("convention"))
+    w = Window.partitionBy(*keys)
+    gap = lambda x: F.abs(angular_difference(F.col(declared), x))
+    both = rows.withColumn("_back", preceding("azimuth", keys))
+    leading, trailing, n = F.avg(gap(F.col("azimuth"))).over(w), F.avg(gap(F.col("_back"))).over(w), F.count(declared).over(w)
+    return both.withColumn("convention", F.when((n >= 2) & (trailing < 0.5 * leading), "trailing").otherwise("leading")).drop("_back")

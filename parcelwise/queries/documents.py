@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import angles, crs, numbers, text
-from parcelwise.operators import extraction, rules
-from parcelwise.queries.tables import VA, table, vertices_a
+from parcelwise.operators import context, extraction, parcels, rules
+from parcelwise.queries.tables import SIDES, VA, table, table_cells, text_pages, vertices_a
 from parcelwise.sources import store
 from parcelwise.streaming import queue
 
@@ -36,8 +36,9 @@ def parsed_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    return docs.select("doc_id", text.normalize_label(F.coalesce(F.get("lines", F.lit(0)), F.lit(""))).alias("label"))
+    """Every line of every document as a label."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    return lines.select("doc_id", "line", text.normalize_label(F.col("raw")).alias("label"))
 
 
 def normalized_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,27 +100,75 @@ def stitched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines' words of each document laid out on a page: three to a row, with jitter."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.slice(F.split("text", "\\s+"), 1, 60)).alias("k", "text"))
-    return docs.select("document", F.lit(1).alias("page"), (F.col("k") % 3 * 100.0 + F.col("document") % 4).alias("x0"), (F.floor(F.col("k") / 3) * 14.0 + F.col("k") % 3).alias("top"), "text")
+    """All words of each document laid out on pages of 60: three to a row, with jitter; every seventh stands 8 to the right of its column, and the first of a page far out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\\s+")).alias("at", "text"))
+    words = docs.select("document", (F.floor(F.col("at") / 60) + 1).cast("int").alias("page"), (F.col("at") % 60).cast("int").alias("k"), "text")
+    x0 = F.when(F.col("k") == 0, 950.0).otherwise(F.col("k") % 3 * 100.0 + F.when(F.col("k") % 7 == 0, 8.0).otherwise(0.0) + F.col("document") % 4)
+    return words.select("document", "page", x0.alias("x0"), (F.floor(F.col("k") / 3) * 14.0 + F.col("k") % 3).alias("top"), "text")
 
 
 def word_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = extraction.cluster_rows(_words(spark, sf_dir))
-    return extraction.assign_columns(words, extraction.column_boundaries(words)).select("document", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "text")
+    return extraction.assign_columns(words, extraction.column_boundaries(words)).select("document", "page", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "text")
 
 
 def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.column_boundaries(_words(spark, sf_dir)).select("document", F.floor(F.col("boundary") * 1000 + 0.5).cast("long").alias("boundary_m"), "support")
+    edges = extraction.column_boundaries(extraction.cluster_rows(_words(spark, sf_dir)))
+    return edges.select("document", "page", F.floor(F.col("boundary") * 1000 + 0.5).cast("long").alias("boundary_m"), "support")
+
+
+def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of words by edges closer to one another than their reach: the nearest counts, not the last."""
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.lit(1).alias("page"), (F.col("p_partkey") % 60).cast("double").alias("x0"))
+    edges = words.select("document", "page", F.explode(F.array(*[F.lit(float(x)) for x in (0, 10, 18, 40, 51)])).alias("boundary"))
+    return extraction.assign_columns(words, edges).select("document", F.col("column").cast("long").alias("column"))
 
 
 def header_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header rows of the fields' usual labels, in an order that each supplier's key tells, below a group row."""
-    labels = ["Vértice", "Coordenada N (m)", "Coordenada E (m)", "Azimute", "Distância (m)", "Confrontante", "Matrícula"]
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("column"))
-    header = rows.select("document", F.lit(1).alias("row"), "column", F.get(F.array(*map(F.lit, labels)), ((F.col("column") + F.col("document")) % 7).cast("int")).alias("text"))
-    group = rows.filter("column = 0").select("document", F.lit(0).alias("row"), "column", F.lit("COORDENADAS").alias("text"))
-    return extraction.map_headers(header.unionByName(group)).select("document", "field", F.col("column").cast("long").alias("column"))
+    """The headers of printed tables, and what tells of them."""
+    maps = extraction.map_headers(table_cells(spark, sf_dir), ["document"])
+    return maps.select("document", F.col("row").cast("long").alias("row"), "two_rows", "fields", F.floor(F.col("confidence") * 1000 + 0.5).cast("long").alias("confidence_m"), "code_is_pair", "has_coordinates", F.explode("columns").alias("field", "column")).withColumn("column", F.col("column").cast("long"))
+
+
+def late_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in the tenth row are data, however many fields they name."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document"), F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(t).alias("text")) for r, c, t in ((1, 0, "Vértice"), (1, 1, "Rumo"), (9, 0, "Lado"), (9, 1, "Divisa"), (9, 2, "Matrícula"))])).alias("x")).select("document", "x.*")
+    maps = extraction.map_headers(rows, ["document"], two_rows=False)
+    return maps.select("document", F.col("row").cast("long").alias("row"), F.array_join(F.array_sort(F.map_keys("columns")), ",").alias("fields"), "has_coordinates")
+
+
+def parcels_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From printed tables to vertices and sides; numbers as printed, in whole units."""
+    cells = table_cells(spark, sf_dir)
+    told = cells.filter("column = 0 AND row = 0").select("document", F.when(F.col("document") % 2 == 0, "br").otherwise("ambiguous").alias("convention"))
+    p = parcels.parcels(cells, told, ["document"])
+    u = lambda c, k: F.floor(F.col(c) * k + 0.5).cast("long")
+    return p.select("document", F.col("idx").cast("long").alias("idx"), "code", u("e", 1000).alias("e_mm"), u("n", 1000).alias("n_mm"), "convention", u("declared_azimuth", 3600).alias("azimuth_s"), u("distance", 100).alias("distance_cm"), u("radius", 100).alias("radius_cm"), u("development", 100).alias("development_cm"), u("central_angle", 3600).alias("central_s"), "neighbour", F.col("to_idx").cast("long").alias("to_idx"))
+
+
+def context_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the suppliers' pages say of their parcels; half of them have a northing besides."""
+    pages = text_pages(spark, sf_dir)
+    northings = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("document"), F.lit(7394000.0).alias("northing"))
+    c = context.contexts(pages, northings)
+    u = lambda x, k: F.floor(F.col(x) * k + 0.5).cast("long")
+    return c.select("document", "convention", "family", F.col("zone").cast("long").alias("zone"), "hemisphere", F.col("epsg").cast("long").alias("epsg"), u("area", 10000).alias("area_u"), u("area_hw", 1e6).alias("area_hw_u"), "area_confidence", F.size("area_rivals").cast("long").alias("area_rivals"), u("perimeter", 100).alias("perimeter_cm"), "perimeter_confidence", "registration", "registration_confidence")
+
+
+def area_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = text_pages(spark, sf_dir)
+    cited = extraction.citations(context.measures(pages, context.conventions(pages)))
+    return cited.select("document", "field", F.col("ordinal").cast("long").alias("ordinal"), F.floor(F.col("value") * 10000 + 0.5).cast("long").alias("value_u"), "confidence")
+
+
+def word_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of words with two tables among prose, of as many rows as the supplier's key tells."""
+    k = F.col("s_suppkey")
+    data = lambda n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.array(F.concat(F.lit("P"), i.cast("string")), F.lit("7.394.250,12"), F.lit("333.123,45")))
+    fixed = lambda *rows: F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    rows = F.concat(fixed(["texto", "corrido"], ["Vértice", "Norte", "Este"]), data(k % 4 + 1), fixed(["mais", "texto"], ["Azimute", "Distância"], ["Coordenada", "N", "Coordenada", "E"]), data(k % 3 + 1), fixed(["Total", "12"], ["fim"]))
+    words = table(spark, sf_dir, "supplier").select(k.alias("document"), F.posexplode(rows).alias("row", "tokens"))
+    return extraction.table_bands(words, ["document"]).select("document", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 def content_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +222,7 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 50, 20).select("o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (parsed_numbers, parsed_angles, normalized_labels, normalized_codes, tax_numbers, utm_codes, page_triage, document_profiles, number_conventions, consensus_values, stitched_tables, word_grid, column_edges, header_maps, content_addresses, observation_round_trip, corrected_observations, tax_id_findings, queue_depth, due_jobs, jobs_after_run, released_jobs, history_page)}
+QUERIES = {f.__name__: f for f in (parsed_numbers, parsed_angles, normalized_labels, normalized_codes, tax_numbers, utm_codes, page_triage, document_profiles, number_conventions, consensus_values, stitched_tables, word_grid, column_edges, nearest_columns, header_maps, late_headers, parcels_from_cells, context_fields, area_citations, word_bands, content_addresses, observation_round_trip, corrected_observations, tax_id_findings, queue_depth, due_jobs, jobs_after_run, released_jobs, history_page)}
 
 _KIND = """CASE WHEN chars < 20 THEN CASE WHEN coverage >= 0.55 OR images > 0 THEN 'scanned' WHEN vectors >= 400 THEN 'vector_cad' ELSE 'empty' END
   WHEN chars <= 120 AND coverage >= 0.55 THEN 'hybrid' WHEN vectors >= 400 THEN 'vector_cad' ELSE 'digital' END"""
@@ -182,6 +231,13 @@ _PAGES = f"""pg AS (SELECT *, {_KIND} AS kind FROM (SELECT page_id // 5 AS docum
 tri AS (SELECT *, kind IN ('scanned', 'hybrid') AS needs_ocr, relevance <> 'likely_drawing' AND kind <> 'empty' AS is_data FROM (
   SELECT *, CASE WHEN kind = 'empty' THEN 'unknown' WHEN tables > 0 OR chars > 400 THEN 'likely_data' WHEN vectors > 400 AND chars < 400 THEN 'likely_drawing' ELSE 'unknown' END AS relevance FROM pg))"""
 
+_LAID = """w AS (SELECT *, CASE WHEN k = 0 THEN 950.0::DOUBLE ELSE k % 3 * 100.0::DOUBLE + CASE WHEN k % 7 = 0 THEN 8.0::DOUBLE ELSE 0 END + document % 4 END AS x0 FROM (
+    SELECT document, text, CAST(nth // 60 + 1 AS INT) AS page, nth % 60 AS k FROM (
+      SELECT doc_id AS document, unnest(regexp_split_to_array(text, '\\s+')) AS text, generate_subscripts(regexp_split_to_array(text, '\\s+'), 1) - 1 AS nth FROM documents))),
+  n AS (SELECT document, page, count(DISTINCT k // 3) AS rows FROM w GROUP BY ALL),
+  edge AS (SELECT w.document, w.page, avg(x0) AS boundary, count(*) AS support FROM w JOIN n ON w.document = n.document AND w.page = n.page GROUP BY w.document, w.page, CASE WHEN k = 0 THEN 9 ELSE k % 3 END, rows
+    HAVING count(*) >= greatest(2, rows // 3))"""
+
 SQL = {
     "parsed_numbers": """WITH c AS (SELECT DISTINCT CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem)
         SELECT cents, 1 AS form, cents * 10 AS value_m, 2 AS decimals FROM c UNION ALL SELECT cents, 2, cents * 10, 2 FROM c
@@ -193,7 +249,8 @@ SQL = {
           CASE WHEN b <= 90 THEN 'NE' WHEN b <= 180 THEN 'SE' WHEN b <= 270 THEN 'SW' ELSE 'NW' END AS quadrant,
           CASE WHEN (540 - 2 * k % 360) % 360 = 0 THEN 180000 ELSE ((540 - 2 * k % 360) % 360 - 180) * 1000 END AS difference_u
         FROM (SELECT *, k * 4500 AS h, (k * 0.37::DOUBLE) % 360 AS b FROM p)""",
-    "normalized_labels": "SELECT doc_id, trim(regexp_replace(lower(strip_accents(string_split(text, chr(10))[1])), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents",
+    "normalized_labels": r"""SELECT doc_id, CAST(i - 1 AS INT) AS line, trim(regexp_replace(regexp_replace(lower(strip_accents(raw)), '[.\-_/\\|()\[\]:;,]+', ' ', 'g'), '\s+', ' ', 'g')) AS label
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
     "normalized_codes": "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'BRSPM' ELSE '' END || p_partkey AS code FROM part",
     "tax_numbers": """WITH n AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS nine FROM customer),
         a AS (SELECT *, list_sum([CAST(nine[i] AS INT) * (11 - i) for i in range(1, 10)]) % 11 AS r FROM n), b AS (SELECT *, nine || CASE WHEN r < 2 THEN 0 ELSE 11 - r END AS ten FROM a),
@@ -219,12 +276,29 @@ SQL = {
         m AS (SELECT *, CASE WHEN page = lag(page) OVER w + 1 AND columns = lag(columns) OVER w AND NOT has_header THEN 0 ELSE 1 END AS starts FROM q WINDOW w AS (PARTITION BY document ORDER BY page)),
         i AS (SELECT *, sum(starts) OVER (PARTITION BY document ORDER BY page) AS island FROM m)
         SELECT document, page, island, coalesce(sum(rows) OVER (PARTITION BY document, island ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_offset FROM i""",
-    "word_grid": """WITH w AS (SELECT doc_id AS document, unnest(regexp_split_to_array(text, '\\s+')[1:60]) AS text, generate_subscripts(regexp_split_to_array(text, '\\s+')[1:60], 1) - 1 AS k FROM documents),
-        c AS (SELECT document, k % 3 AS cl, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 2)
-        SELECT document, k // 3 AS row, greatest((SELECT count(*) FROM c WHERE c.document = w.document AND cl <= w.k % 3) - 1, 0) AS column, text FROM w WHERE document IN (SELECT document FROM c)""",
-    "column_edges": """WITH w AS (SELECT doc_id AS document, unnest(range(0, least(60, len(regexp_split_to_array(text, '\\s+'))))) AS k FROM documents)
-        SELECT document, CAST((k % 3 * 100 + document % 4) * 1000 AS BIGINT) AS boundary_m, count(*) AS support FROM w GROUP BY document, k % 3 HAVING count(*) >= 2""",
-    "header_maps": """SELECT s_suppkey AS document, ['vertex_code', 'northing', 'easting', 'azimuth', 'distance', 'confrontant', 'registration'][(c + s_suppkey) % 7 + 1] AS field, c AS column FROM supplier, (SELECT unnest(range(0, 7)) AS c)""",
+    # on a page of n words, a column of c has an edge if it is met twice and in a third of the rows; the far word has none
+    "word_grid": f"""WITH {_LAID}
+        SELECT document, page, k // 3 AS row, (SELECT count(*) FROM edge e WHERE e.document = w.document AND e.page = w.page AND e.boundary < (SELECT arg_min(f.boundary, (abs(f.boundary - w.x0), f.boundary)) FROM edge f WHERE f.document = w.document AND f.page = w.page AND f.boundary <= w.x0 + 12)) AS column, text
+        FROM w WHERE (document, page) IN (SELECT (document, page) FROM edge)""",
+    "column_edges": f"WITH {_LAID} SELECT document, page, CAST(floor(boundary * 1000 + 0.5) AS BIGINT) AS boundary_m, support FROM edge",
+    "nearest_columns": """SELECT p_partkey AS document, CASE WHEN p_partkey % 60 <= 5 THEN 0 WHEN p_partkey % 60 <= 14 THEN 1 WHEN p_partkey % 60 < 29 THEN 2 WHEN p_partkey % 60 = 29 THEN 2 WHEN p_partkey % 60 <= 45 THEN 3 ELSE 4 END AS column FROM part""",
+    "header_maps": f"""WITH {VA}, d AS (SELECT DISTINCT pair FROM va), f AS (SELECT * FROM (VALUES ('vertex_code', 0), ('northing', 1), ('easting', 2), ('azimuth', 3), ('distance', 4), ('interior_angle', 5), ('confrontant', 6)) t(field, c))
+        SELECT pair AS document, CASE pair % 3 WHEN 0 THEN 0 ELSE 2 END AS row, pair % 3 = 1 AS two_rows, 7 AS fields, 1000 AS confidence_m, pair % 3 = 1 AS code_is_pair, true AS has_coordinates, field, CASE pair % 3 WHEN 2 THEN 6 - c ELSE c END AS column FROM d, f""",
+    "late_headers": "SELECT s_suppkey AS document, 1 AS row, 'azimuth,vertex_code' AS fields, false AS has_coordinates FROM supplier",
+    "parcels_from_cells": f"""WITH {VA}, {SIDES} SELECT pair AS document, idx, code, CAST(floor(e * 1000 + 0.5) AS BIGINT) AS e_mm, CAST(floor(n * 1000 + 0.5) AS BIGINT) AS n_mm, CASE WHEN pair % 4 = 3 THEN 'trailing' ELSE 'leading' END AS convention,
+        CAST(floor(azimuth * 3600 + 0.5) AS BIGINT) % 1296000 AS azimuth_s, CASE WHEN NOT arc THEN CAST(floor(length * 100 + 0.5) AS BIGINT) END AS distance_cm, CASE WHEN arc THEN 600 END AS radius_cm, CASE WHEN arc THEN 824 END AS development_cm, CASE WHEN arc THEN 283256 END AS central_s,
+        'Lote ' || idx AS neighbour, (idx + 1) % size AS to_idx FROM (SELECT *, pair % 5 = 2 AND idx = 1 AS arc FROM sa)""",
+    "context_fields": """WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'SIRGAS2000' WHEN 1 THEN 'WGS84' WHEN 2 THEN 'SAD69' WHEN 3 THEN 'CORREGO_ALEGRE' END AS family, CASE WHEN s_suppkey % 3 = 2 THEN 23 ELSE 22 END AS zone,
+          CASE WHEN s_suppkey % 3 <> 1 OR s_suppkey % 2 = 0 THEN 'S' END AS hemisphere, s_suppkey % 4 = 0 AS ha FROM supplier)
+        SELECT k AS document, CASE WHEN k % 7 = 6 THEN 'us' ELSE 'br' END AS convention, family, zone, hemisphere,
+          CASE WHEN hemisphere IS NULL THEN CASE family WHEN 'SIRGAS2000' THEN 4674 WHEN 'WGS84' THEN 4326 WHEN 'SAD69' THEN 4618 WHEN 'CORREGO_ALEGRE' THEN 4225 END
+            ELSE CASE family WHEN 'SIRGAS2000' THEN 31960 WHEN 'WGS84' THEN 32700 WHEN 'SAD69' THEN 29170 WHEN 'CORREGO_ALEGRE' THEN 22500 END + zone END AS epsg,
+          CASE WHEN ha THEN (120000 + k % 1000) * 10000 ELSE (100050 + k % 1000 * 100) * 100 END AS area_u, CASE WHEN ha THEN 500000 ELSE 5000 END AS area_hw_u, CASE WHEN k % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS area_confidence, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS area_rivals,
+          45678 + k AS perimeter_cm, 1.0::DOUBLE AS perimeter_confidence, CAST(10000 + k AS VARCHAR) AS registration, CASE WHEN k % 6 = 5 THEN 0.5 ELSE 1.0 END::DOUBLE AS registration_confidence FROM s""",
+    "area_citations": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN (120000 + s_suppkey % 1000) * 10000 ELSE (100050 + s_suppkey % 1000 * 100) * 100 END AS a FROM supplier)
+        SELECT k AS document, 'area' AS field, 1 AS ordinal, a AS value_u, 1.0::DOUBLE AS confidence FROM s UNION ALL SELECT k, 'area', 2, 7777700, 0.5 FROM s WHERE k % 3 = 0 UNION ALL SELECT k, 'perimeter', 1, (45678 + k) * 100, 1.0 FROM s""",
+    "word_bands": """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 + 1 AS a, s_suppkey % 3 + 1 AS b FROM supplier)
+        SELECT k AS document, 1 AS first, 1 + a AS last FROM s WHERE a >= 2 UNION ALL SELECT k, 3 + a, 5 + a + b FROM s""",
     "content_addresses": "SELECT sha256(text) AS sha256, min(doc_id) AS first, count(*) AS copies, 'blobs/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS blob_path FROM documents GROUP BY sha256(text)",
     "observation_round_trip": f"WITH {VA} SELECT pair, idx, CASE WHEN idx = 2 THEN '#3' ELSE code END AS code, CAST(floor(e * 1000 + 0.5) AS BIGINT) AS e_mm, CAST(floor(n * 1000 + 0.5) AS BIGINT) AS n_mm FROM va",
     "corrected_observations": f"""WITH {VA} SELECT pair, idx, CAST(floor((e + CASE WHEN hit THEN 2 ELSE 0 END) * 1000 + 0.5) AS BIGINT) AS value_mm, hit AS edited, CASE WHEN hit THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence,

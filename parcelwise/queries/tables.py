@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelwise.operators.rings import sides
+from parcelwise.functions.numbers import format_br
+from parcelwise.operators.rings import preceding, sides
 
 COS, SIN = math.cos(math.radians(0.05)), math.sin(math.radians(0.05))
 
@@ -18,12 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vertices_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair, idx, size, code, e, n: each order's lines as a ring of three vertices or more."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # named as the key before the first window, so that all that goes by pair shares its shuffle
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    w = Window.partitionBy("pair").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = lines.select(
-        F.col("l_orderkey").alias("pair"),
+        "pair",
         (F.row_number().over(w) - 1).alias("idx"),
-        F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("int").alias("size"),
+        F.count(F.lit(1)).over(Window.partitionBy("pair")).cast("int").alias("size"),
         (333000 + F.col("l_extendedprice") / 100).alias("e"),
         (7394000 + F.col("l_quantity") * 10).alias("n"),
     ).filter("size >= 3")
@@ -78,3 +80,48 @@ SIDES = """sa AS (
 DECLARED = """dc AS (
   SELECT *, floor(length * 100 + 0.5) / 100 + CASE WHEN pair % 7 = 1 AND idx = 0 THEN 0.5 ELSE 0.0 END AS distance,
          floor(azimuth * 10000 + 0.5) / 10000 + CASE WHEN pair % 7 = 2 AND idx = 1 THEN 0.05 ELSE 0.0 END AS declared_azimuth FROM sa)"""
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document, row, column, text: each ring of A as a printed table.
+
+    By the pair's number modulo 3: a plain header; a title and a header of two rows, with both ends of a side in a cell; two rows of
+    text, columns in reverse order and a row of totals. Modulo 4 it is 3 where rows print the side that leads to their vertex,
+    and modulo 5 it is 2 where the second side is an arc.
+    """
+    s = sides(vertices_a(spark, sf_dir), ["pair"])
+    units = lambda x, k: F.floor(x * k + 0.5).cast("long")
+    seconds = units(F.col("azimuth"), 3600) % 1296000
+    arc = (F.pmod("pair", F.lit(5)) == 2) & (F.col("idx") == 1)
+    s = s.select("pair", "idx", "size", "code", F.element_at(F.array(F.lit(0), F.lit(1), F.lit(2)), F.pmod("pair", F.lit(3)).cast("int") + 1).alias("kind"),
+        format_br(units(F.col("e"), 1000) / 1000, 3).alias("e"), format_br(units(F.col("n"), 1000) / 1000, 3).alias("n"),
+        F.format_string("%d°%02d'%02d\"", (seconds / 3600).cast("int"), (seconds / 60).cast("int") % 60, (seconds % 60).cast("int")).alias("az"),
+        F.when(arc, "R6,00-D8,24").otherwise(format_br(units(F.col("length"), 100) / 100, 2)).alias("d"),
+        F.when(arc, "AC 78°40'56\"").otherwise("").alias("ac"), F.concat(F.lit("Lote "), "idx").alias("next_to"))
+    late = F.pmod("pair", F.lit(4)) == 3
+    s = s.withColumns({c: F.when(late, preceding(c, ["pair"])).otherwise(F.col(c)) for c in ("az", "d", "ac", "next_to")})
+    code = F.when(F.col("kind") == 1, F.concat("code", F.lit(" P-"), F.lpad((F.pmod(F.col("idx") + 1, F.col("size")) + 1).cast("string"), 2, "0"))).otherwise(F.col("code"))
+    heads = {0: [["Vértice", "Coordenada N (m)", "Coordenada E (m)", "Azimute", "Distância (m)", "Ângulo interno", "Confrontante"]],
+             1: [["MEMORIAL DESCRITIVO", "", "", "", "", "", ""], ["LADOS", "UTM", "UTM", "AZIMUTE", "DISTÂNCIA", "ÂNGULO INTERNO", "CONFRONTANTE"], ["Vértice Vértice", "N", "E", "", "", "", ""]],
+             2: [["Tabela de vértices", "", "", "", "", "", ""], ["", "folha 1", "", "", "", "", ""], ["VÉRTICE", "Norte", "Este", "Az.", "Dist.", "Ang. interno", "Confrontação"]]}
+    texts = F.array(code, "n", "e", "az", "d", "ac", "next_to")
+    data = s.select("pair", "kind", (F.col("idx") + F.when(F.col("kind") == 0, 1).otherwise(3)).alias("row"), texts.alias("texts"))
+    top = s.filter("idx = 0").select("pair", "kind", "size", F.posexplode(F.create_map(*[F.lit(x) for k, rows in heads.items() for x in (k, rows)])[F.col("kind")]).alias("row", "texts")).drop("size")
+    total = s.filter("idx = 0 AND kind = 2").select("pair", "kind", (F.col("size") + 3).alias("row"), F.array(*map(F.lit, ["TOTAL", "", "", "", "1.234,56", "", ""])).alias("texts"))
+    rows = data.unionByName(top).unionByName(total)
+    return rows.select(F.col("pair").alias("document"), "row", "kind", F.posexplode("texts").alias("k", "text")).select("document", "row", F.when(F.col("kind") == 2, 6 - F.col("k")).otherwise(F.col("k")).alias("column"), "text")
+
+
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document, page, text: two pages a supplier, whose datum, zone, totals and registrations its key tells."""
+    k = F.col("s_suppkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    number = lambda units, d: F.when(k % 7 == 6, F.format_number(units / 10**d, d)).otherwise(format_br(units / 10**d, d))
+    datum = pick(["SIRGAS 2000", "WGS-84", "SAD 69", "Córrego Alegre", "não declarado"], 5)
+    zone = F.when(k % 3 == 0, "fuso 22 S").when(k % 3 == 1, F.concat(F.lit("Meridiano Central "), number(F.lit(588), 2), F.lit(" 51° WGr"))).otherwise("UTM 23S")
+    area = F.when(k % 4 == 0, F.concat(number(120000 + k % 1000, 4), F.lit(" ha"))).otherwise(F.concat(number(100050 + k % 1000 * 100, 2), F.lit(" m²")))
+    own = F.concat(F.lit("matrícula nº "), (10000 + k).cast("string"), F.lit("."))
+    first = F.concat(F.when(k % 6 == 5, "Folha de rosto, ").otherwise("MEMORIAL DESCRITIVO do imóvel objeto da "), own, F.lit(" Datum: "), datum, F.lit("; "), zone, F.lit(". Área de "), area, F.lit(". Perímetro: "), number(45678 + k, 2), F.lit(" m."))
+    second = F.concat(F.lit("Confronta ao norte com a propriedade de Fulano, matrícula 9.999; "), F.when(k % 2 == 0, F.concat(F.lit("área total "), area)).otherwise("sem mais"), F.lit(". "), F.when(k % 3 == 0, F.concat(F.lit("Área da rua: "), number(F.lit(77777), 2), F.lit(" m2."))).otherwise(""))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("document"), F.posexplode(F.array(first, second)).alias("page", "text"))
+    return rows.withColumn("page", F.col("page") + 1)
