@@ -8,23 +8,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.angles import angular_difference
 from parcelwise.functions.numbers import ANGLE_EPS, LINEAR_EPS, exceeds, quantum
+from parcelwise.functions.text import mask_tax_id
+from parcelwise.operators.rings import arc_chord, arc_development
 
 #: Below it, a value that nobody has edited is to be reviewed.
 LOW_CONFIDENCE = 0.80
 SEVERITIES, KINDS = ["error", "warning", "info"], ["systematic", "data_gap", "structural", "inter_document", "internal", "low_confidence"]
 
 
-def finding(rule: str, kind: str | Column, severity: str | Column, field: str, subject: Column, scope: str | Column = "AB", a: Column | None = None, b: Column | None = None, delta: Column | None = None, tolerance: Column | None = None, text_a: Column | None = None, text_b: Column | None = None) -> Column:
+def finding(rule: str, kind: str | Column, severity: str | Column, field: str | Column, subject: Column, scope: str | Column = "AB", a: Column | None = None, b: Column | None = None, delta: Column | None = None, tolerance: Column | None = None, text_a: Column | None = None, text_b: Column | None = None) -> Column:
     """The struct of one finding."""
     col = lambda x: F.lit(x) if isinstance(x, str) else x
     number = lambda x: (F.lit(None) if x is None else x).cast("double")
     text = lambda x: (F.lit(None) if x is None else x).cast("string")
-    return F.struct(F.lit(rule).alias("rule"), col(kind).alias("kind"), col(severity).alias("severity"), F.lit(field).alias("field"), subject.cast("string").alias("subject"), col(scope).alias("scope"), number(a).alias("value_a"), number(b).alias("value_b"), number(delta).alias("delta"), number(tolerance).alias("tolerance"), text(text_a).alias("text_a"), text(text_b).alias("text_b"))
+    return F.struct(F.lit(rule).alias("rule"), col(kind).alias("kind"), col(severity).alias("severity"), col(field).cast("string").alias("field"), subject.cast("string").alias("subject"), col(scope).alias("scope"), number(a).alias("value_a"), number(b).alias("value_b"), number(delta).alias("delta"), number(tolerance).alias("tolerance"), text(text_a).alias("text_a"), text(text_b).alias("text_b"))
 
 
 def emit(rows: DataFrame, *checks: tuple[Column, Column], key: str = "pair") -> DataFrame:
@@ -45,7 +47,7 @@ def reference_systems(parcels: DataFrame) -> DataFrame:
 
 def arcs(segments: DataFrame) -> DataFrame:
     """R3, R4, R5 from rows of pair, role, idx, radius, radius_hw, development, development_hw, central_angle, length (between vertices)."""
-    chord, arc = 2 * F.col("radius") * F.sin(F.radians("central_angle") / 2), F.col("radius") * F.radians("central_angle")
+    chord, arc = arc_chord(F.col("radius"), F.col("central_angle")), arc_development(F.col("radius"), F.col("central_angle"))
     subject, curved = F.col("idx"), F.col("radius").isNotNull()
     return emit(
         segments,
@@ -106,13 +108,17 @@ def one_cause(fits: DataFrame) -> DataFrame:
     return emit(fits, (F.col("kind").isNotNull(), finding("R16", "systematic", "error", "easting", F.col("kind"), delta=size)))
 
 
-def coordinates(points: DataFrame, fits: DataFrame, key: str = "pair") -> DataFrame:
-    """R17 for E and for N of each matched vertex; only informative where one cause explains the pair. hw_a, hw_b may be null."""
-    rows = points.join(fits.select(key, F.col("kind").alias("cause")), key, "left")
+def coordinates(points: DataFrame, key: str = "pair") -> DataFrame:
+    """R17 for E and for N of each matched vertex (with cause, of with_cause()); only informative where one cause explains the pair. hw_a, hw_b may be null."""
     kind, severity = F.when(F.col("cause").isNotNull(), "systematic").otherwise("inter_document"), F.when(F.col("cause").isNotNull(), "info").otherwise("error")
     tolerance = quantum(F.col("hw_a"), F.col("hw_b"))
     checks = [(exceeds(F.col(b) - F.col(a), tolerance), finding("R17", kind, severity, field, F.col("idx_a"), "AB", F.col(a), F.col(b), F.col(b) - F.col(a), tolerance)) for field, a, b in (("easting", "ea", "eb"), ("northing", "na", "nb"))]
-    return emit(rows, *checks, key=key)
+    return emit(points, *checks, key=key)
+
+
+def notes(rows: DataFrame, key: str = "pair") -> DataFrame:
+    """R13 from rows of pair, note: what matching has to say of a pair."""
+    return emit(rows, (F.col("note").isNotNull(), finding("R13", "structural", "info", F.lit(None), F.lit("match"), text_a=F.col("note"))), key=key)
 
 
 def matched_sides(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str = "pair", undirected: bool = False) -> DataFrame:
@@ -165,7 +171,8 @@ def tax_ids_between(ids: DataFrame, key: str = "pair") -> DataFrame:
     one = ids.groupBy(key, "role", "digits").agg(F.max_by("confidence", "ordinal").alias("confidence"))
     both = one.groupBy(key, "digits").agg(F.max(F.when(F.col("role") == "A", F.col("confidence"))).alias("a"), F.max(F.when(F.col("role") == "B", F.col("confidence"))).alias("b"))
     alike = both.groupBy(key).agg(F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("alike"), F.count(F.lit(1)).alias("n"))
-    field = lambda rule, severity, scope, kind="inter_document", confidence=None: finding(rule, kind, severity, "tax_id", F.col("digits"), scope, confidence)
+    name, shown = F.when(F.length("digits") == 14, "cnpj").otherwise("cpf"), mask_tax_id(F.col("digits"))
+    field = lambda rule, severity, scope, kind="inter_document", confidence=None: finding(rule, kind, severity, name, shown, scope, confidence)
     sets = emit(alike, (F.col("alike"), finding("R26", "inter_document", "info", "tax_id", F.lit("tax ids"), a=F.col("n"), b=F.col("n"))), key=key)
     single = emit(
         both,
@@ -189,15 +196,15 @@ def citations(rows: DataFrame, rule_conflict: str, rule_among: str | None, field
     delta = F.col("value") - F.col("computed")
     checks = [(split & ~F.col("matches"), finding(rule_conflict, "internal", "warning", field, F.col("ordinal"), F.col("role"), F.col("value"), F.col("computed"), delta))]
     if rule_among:
-        checks.append((~split & (F.col("ordinal") > F.col("first_ordinal")) & ~F.col("matches_first"), finding(rule_among, "internal", "warning", field, F.col("ordinal"), F.col("role"), F.col("primary"), F.col("value"), F.col("value") - F.col("primary"))))
+        checks.append((~split & (F.col("ordinal") > F.col("first_ordinal")) & ~F.col("matches_first"), finding(rule_among, "internal", "warning", field, F.col("ordinal"), F.col("role"), F.col("primary"), F.col("value"), F.col("primary") - F.col("value"))))
     return emit(joined, *checks, key=key)
 
 
 def low_confidence(observations: DataFrame, key: str = "pair") -> DataFrame:
-    """R32 (coordinates) and R33 (area, perimeter, registration) from rows of pair, role, field, subject, confidence, edited."""
+    """R32 (coordinates) and R33 (area, perimeter, registration) from rows of pair, role, field, subject, value, confidence, edited: unsure values that nobody has edited."""
     weak = (F.col("confidence") < LOW_CONFIDENCE) & ~F.col("edited")
-    rule = lambda name: F.struct(F.lit(name).alias("rule"), F.lit("low_confidence").alias("kind"), F.lit("warning").alias("severity"), F.col("field"), F.col("subject").cast("string").alias("subject"), F.col("role").alias("scope"), F.col("confidence").cast("double").alias("value_a"), F.lit(None).cast("double").alias("value_b"), F.lit(None).cast("double").alias("delta"), F.lit(LOW_CONFIDENCE).alias("tolerance"), F.lit(None).cast("string").alias("text_a"), F.lit(None).cast("string").alias("text_b"))
-    return emit(observations, (weak & F.col("field").isin("easting", "northing"), rule("R32")), (weak & F.col("field").isin("area", "perimeter", "registration"), rule("R33")), key=key)
+    rule = lambda name: finding(name, "low_confidence", "warning", F.col("field"), F.col("subject"), F.col("role"), F.col("value"), tolerance=F.lit(LOW_CONFIDENCE))
+    return emit(observations, (weak & F.col("field").isin("easting", "northing", "latitude", "longitude"), rule("R32")), (weak & F.col("field").isin("area", "perimeter", "registration"), rule("R33")), key=key)
 
 
 def findings(*parts: DataFrame) -> DataFrame:
@@ -208,13 +215,15 @@ def rank(column: str, values: list[str]) -> Column:
     return F.coalesce(F.when(F.array_position(F.array(*map(F.lit, values)), F.col(column)) > 0, F.array_position(F.array(*map(F.lit, values)), F.col(column)) - 1), F.lit(9))
 
 
-def ordered(found: DataFrame, key: str = "pair") -> DataFrame:
-    """Findings of each pair in the order of the report: severity, kind, subject."""
-    return found.orderBy(key, rank("severity", SEVERITIES), rank("kind", KINDS), "subject", "rule", "field", "scope")
+def placed(found: DataFrame, key: str = "pair") -> DataFrame:
+    """found with place, the order within a pair: severity, kind, subject; what is alike in these as the rules emit it (rule number, scope, field)."""
+    order = Window.partitionBy(key).orderBy(rank("severity", SEVERITIES), rank("kind", KINDS), "subject", F.substring("rule", 2, 3).cast("int"), "scope", "field", "delta")
+    return found.withColumn("place", F.row_number().over(order))
 
 
-def summary(found: DataFrame, key: str = "pair") -> DataFrame:
-    """Counts of each pair, zero-filled, and whether it waits for review."""
+def summary(found: DataFrame, pairs: DataFrame, key: str = "pair") -> DataFrame:
+    """Counts of each of the pairs, zero where nothing was found, and whether it waits for review."""
     count = lambda c, v: F.count_if(F.col(c) == v).alias(f"{v}_count")
     review = F.bool_or(F.col("kind").isin("data_gap", "low_confidence"))
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *[count("severity", s) for s in SEVERITIES], *[count("kind", k) for k in KINDS], F.when(review, "awaiting_review").otherwise("compared").alias("status"))
+    all_ = pairs.select(key).join(found, key, "left")
+    return all_.groupBy(key).agg(F.count("rule").alias("total"), *[count("severity", s) for s in SEVERITIES], *[count("kind", k) for k in KINDS], F.when(review, "awaiting_review").otherwise("compared").alias("status"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelwise.sources.lineage import settled
+
 FIELDS = ["easting", "northing", "longitude", "latitude", "vertex_code"]
 
 
@@ -58,9 +61,33 @@ def changed_keys(corrections: DataFrame, key: str) -> DataFrame:
     return corrections.select(key).distinct()
 
 
-def replace_findings(findings: DataFrame, path: str, key: str) -> None:
-    """Write findings so that the analyses named in them are replaced and others stay (an analysis is a partition)."""
-    findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_findings(findings: DataFrame, compared: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Write findings so that those of all compared keys are replaced, and others stay; a key whose new run found nothing loses its old ones.
+
+    Keys are spread over a fixed number of folders by their hash, not one folder a key. Only folders that hold a compared key
+    are rewritten, each with what stays of it.
+    """
+    spark = findings.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    keys = compared.select(key).distinct().withColumn("bucket", bucket)
+    new = findings.join(keys.select(key), key, "left_semi").withColumn("bucket", bucket)
+    none = new.limit(0)
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException:
+        old = none
+    stays = old.join(F.broadcast(keys.select("bucket").distinct()), "bucket", "left_semi").join(keys.select(key), key, "left_anti").select(*new.columns)
+    rows = stays.unionByName(new)
+    held = rows.select("bucket").distinct()
+    # a folder that is to be left empty gets a row without a key, which the reader passes over
+    empty = keys.select("bucket").distinct().join(held, "bucket", "left_anti")
+    blank = empty.select(*[F.col("bucket") if c == "bucket" else F.lit(None).cast(t).alias(c) for c, t in new.dtypes])
+    # what is read is not overwritten while it is read
+    settled(rows.unionByName(blank)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_findings(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col(key).isNotNull()).drop("bucket")
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
