@@ -60,6 +60,12 @@ def triage(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"needs_ocr": F.col("kind").isin("scanned", "hybrid"), "is_data": (F.col("relevance") != "likely_drawing") & (F.col("kind") != "empty")})
 
 
+def data_cells(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cells (document, page) of data pages; a document of a single page is read whatever its page is."""
+    read = pages.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("document"))).filter("is_data OR _n = 1")
+    return cells.join(read.select("document", "page"), ["document", "page"], "left_semi")
+
+
 def document_profile(pages: DataFrame) -> DataFrame:
     """document, pages, dominant (most frequent kind, of equals the one seen first), needs_ocr, data_pages from triaged pages."""
     kinds = pages.groupBy("document", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))

@@ -48,6 +48,54 @@ def from_observations(observations: DataFrame, key: str) -> DataFrame:
     return g.select(key, "idx", F.coalesce(F.col("vertex_code.value_text"), F.concat(F.lit("#"), (F.col("idx") + 1).cast("string"))).alias("code"), F.col("easting.value_num").alias("e"), F.col("northing.value_num").alias("n"))
 
 
+#: Fields of a vertex or the side that leaves it, and of the whole parcel, in the order of emission; those that hold text.
+VERTEX_FIELDS = {"vertex_code": "code", "easting": "e", "northing": "n", "azimuth": "declared_azimuth", "distance": "distance", "confrontant": "neighbour"}
+TOTAL_FIELDS, TEXT_FIELDS = ["area", "perimeter", "registration"], ["vertex_code", "confrontant", "registration"]
+
+
+def _long(rows: DataFrame, key: str, columns: dict[str, str], idx: Column, first: Column) -> DataFrame:
+    def part(k: int, field: str, column: str) -> Column:
+        held = F.col(column) if column in rows.columns else F.lit(None)
+        width = F.col(f"{column}_hw") if f"{column}_hw" in rows.columns else F.lit(None)
+        number, words = (F.lit(None), held) if field in TEXT_FIELDS else (held, F.lit(None))
+        return F.struct(F.lit(k).alias("k"), F.lit(field).alias("field"), number.cast("double").alias("value_num"), words.cast("string").alias("value_text"), width.cast("double").alias("halfwidth"))
+
+    parts = F.filter(F.array(*[part(k, f, c) for k, (f, c) in enumerate(columns.items())]), lambda x: x["value_num"].isNotNull() | x["value_text"].isNotNull())
+    long = rows.select(key, idx.cast("int").alias("idx"), first.alias("first"), F.col("confidence").cast("double").alias("confidence"), F.inline(parts))
+    return long.select(key, (F.col("first") + F.col("k")).cast("long").alias("ordinal"), "idx", "field", "value_num", "value_text", "halfwidth", "confidence", F.lit(False).alias("edited"))
+
+
+def parcel_observations(vertices: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Every value of a parcel as a row: key, ordinal, idx (null for totals), field, value_num or value_text, halfwidth, confidence, edited.
+
+    vertices: key, idx, confidence and any columns of VERTEX_FIELDS with half-widths in _hw; totals: key, confidence and any of TOTAL_FIELDS. Nulls have no row.
+    """
+    n = len(VERTEX_FIELDS)
+    sides = _long(vertices, key, VERTEX_FIELDS, F.col("idx"), F.col("idx") * n + len(TOTAL_FIELDS))
+    return _long(totals, key, {f: f for f in TOTAL_FIELDS}, F.lit(None), F.lit(0)).unionByName(sides)
+
+
+def from_parcel_observations(observations: DataFrame, key: str) -> DataFrame:
+    """Vertices (key, idx, the columns of VERTEX_FIELDS) with their parcel's totals, vertices (their number) and least_confidence; a vertex without a code is called by its number."""
+    value = lambda f, c: F.first(F.when(F.col("field") == f, F.col("value_text" if f in TEXT_FIELDS else "value_num")), ignorenulls=True).alias(c)
+    of = observations.filter("idx IS NOT NULL").groupBy(key, "idx").agg(*[value(f, c) for f, c in VERTEX_FIELDS.items()])
+    w = Window.partitionBy(key)
+    totals = observations.groupBy(key).agg(*[value(f, f) for f in TOTAL_FIELDS], F.min("confidence").alias("least_confidence"), F.max("halfwidth").alias("widest"))
+    named = F.coalesce("code", F.concat(F.lit("#"), (F.col("idx") + 1).cast("string")))
+    return of.withColumns({"code": named, "vertices": F.count(F.lit(1)).over(w)}).join(totals, key)
+
+
+def alternates(observations: DataFrame, key: str) -> DataFrame:
+    """observations without later rows that repeat a value of the same field and place (numbers within a millionth)."""
+    place = F.coalesce((F.round("value_num", 6)).cast("string"), "value_text")
+    first = Window.partitionBy(key, "idx", "field", place).orderBy("ordinal")
+    return observations.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+
+
+def page_of(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(limit)
+
+
 def corrected(observations: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
     """observations with the last correction (key, ordinal, at, value_num, by) of each applied: value_num, original_num, edited, confidence, edited_by."""
     last = corrections.groupBy(key, "ordinal").agg(F.max_by(F.struct(F.col("value_num").alias("new"), F.col("by").alias("edited_by")), "at").alias("c")).select(key, "ordinal", "c.*", F.lit(True).alias("touched"))

@@ -20,6 +20,13 @@ def depth(jobs: DataFrame, kinds: list[str] | None = None, column: str = "status
     return all_.join(jobs.groupBy(column).agg(F.count(F.lit(1)).alias("jobs")), column, "left").na.fill(0, ["jobs"])
 
 
+def enqueued(jobs: DataFrame, now: Column) -> DataFrame:
+    """New jobs (job, kind, delay in seconds) as rows of the queue; a recomparison has two attempts, others MAX_ATTEMPTS."""
+    most = F.when(F.col("kind") == "recompare", 2).otherwise(MAX_ATTEMPTS)
+    none = F.lit(None).cast("timestamp")
+    return jobs.select("job", "kind", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), most.alias("max_attempts"), (now + F.make_dt_interval(secs=F.col("delay"))).alias("run_at"), none.alias("locked_at"))
+
+
 def due(jobs: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Queued jobs whose time has come, oldest first."""
     rows = jobs.filter((F.col("status") == "queued") & (F.col("run_at") <= now)).orderBy("run_at", "job")

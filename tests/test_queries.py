@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from parcelwise.queries import documents, survey
+from parcelwise.queries import details, documents, survey
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = survey.QUERIES | documents.QUERIES, survey.SQL | documents.SQL
+QUERIES, SQL = survey.QUERIES | documents.QUERIES | details.QUERIES, survey.SQL | documents.SQL | details.SQL
 
 
 @pytest.fixture(scope="module")
