@@ -12,7 +12,7 @@ FIELDS = ["easting", "northing", "longitude", "latitude", "vertex_code"]
 
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected files: path, length, sha256 (accepted) or reason. An upload is a non-empty PDF within the size cap."""
+    """Accepted and rejected files: path, length, sha256 (accepted) or reason. An upload is a non-empty PDF within the size cap; Spark's file sources pass over empty files, which are thus in neither table."""
     files = spark.read.format("binaryFile").load(path)
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
     checked = files.select("path", "length", F.sha2("content", 256).alias("sha256"), reason.alias("reason"))
