@@ -111,24 +111,25 @@ def header_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, column, text) with label, and field where one is told: exact labels, then those that contain or begin with a field's label of three letters or more, in the order of HEADERS."""
     spark = cells.sparkSession
     names = spark.createDataFrame([(field, alias, k) for k, (field, alias) in enumerate((f, a) for f, all_ in HEADERS.items() for a in all_)], "field string, alias string, rank int")
-    labelled = cells.withColumn("label", normalize_label(F.col("text")))
-    distinct = labelled.select("label").filter((F.col("label") != "") & ~F.col("label").isin(GROUPS)).distinct()
+    # most cells of the first rows are data: those without a letter have no label, and only what names some field is compared
+    labelled = cells.withColumn("label", F.when(F.col("text").rlike("\\p{L}"), normalize_label(F.col("text"))).otherwise(""))
+    long_, short = ("|".join(a for all_ in HEADERS.values() for a in all_ if (len(a) >= 3) == is_long) for is_long in (True, False))
+    distinct = labelled.select("label").filter(F.col("label").rlike(f"^(?:{long_})|(?<= )(?:{long_})(?= |$)|^(?:{short})$") & ~F.col("label").isin(GROUPS)).distinct()
     contained = F.contains(F.concat(F.lit(" "), "label", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
     hits = distinct.join(F.broadcast(names), (F.col("label") == F.col("alias")) | ((F.length("alias") >= 3) & (contained | F.startswith("label", F.col("alias")))))
     known = hits.groupBy("label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field"))
-    return labelled.join(known, "label", "left")
+    return labelled.join(known, "label", "left")  # a few hundred labels that recur
 
 
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """What each of the first rows would be as a header, alone or read with the row below: keys, row (the last header row), two_rows, columns (field -> column), fields, confidence, code_is_pair, has_coordinates."""
     first = cells.filter(F.col("row") < HEADER_ROWS).select(*keys, "row", "column", F.coalesce("text", F.lit("")).alias("text"))
-    last = Window.partitionBy(*keys)
-    sized = first.withColumn("last", F.max("row").over(last))
-    # a row's cell is the upper part of one merged cell and the lower part of another
-    part = lambda at, two_rows, k: F.struct(at.alias("at"), F.lit(two_rows).alias("two_rows"), F.lit(k).alias("k"))
-    parts = F.array(part(F.col("row"), False, 0), part(F.col("row") + 1, True, 0), part(F.col("row"), True, 1))
-    read = sized.select(*keys, "column", "text", "last", F.inline(parts)).filter((F.col("at") <= F.col("last")) & (~F.col("two_rows") | (F.col("at") >= 1)))
-    merged = read.groupBy(*keys, "at", "two_rows", "column").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")).alias("text"))
+    w, last = Window.partitionBy(*keys, "column").orderBy("row"), F.max("row").over(Window.partitionBy(*keys))
+    around = first.withColumns({"last": last, "below": F.when(F.lead("row").over(w) == F.col("row") + 1, F.lead("text").over(w)).otherwise(""), "alone": F.coalesce(F.lag("row").over(w) != F.col("row") - 1, F.lit(True))})
+    # a row's cell by itself, with the one below it, and under a row that lacks its column
+    part = lambda held, at, two_rows, text: F.when(held, F.struct(at.alias("at"), F.lit(two_rows).alias("two_rows"), F.trim(text).alias("text")))
+    parts = F.array(part(F.lit(True), F.col("row"), False, F.col("text")), part(F.col("row") < F.col("last"), F.col("row") + 1, True, F.concat("text", F.lit(" "), "below")), part((F.col("row") > 0) & F.col("alone"), F.col("row"), True, F.col("text")))
+    merged = around.select(*keys, "column", F.explode(parts).alias("p")).filter("p IS NOT NULL").select(*keys, "column", "p.*")
     told = header_fields(merged, [*keys, "at", "two_rows"])
     pair = F.exists(F.lit(PAIR_LABELS), lambda x: F.array_join(F.slice(F.split("label", " "), -F.least(F.lit(2), F.size(F.split("label", " "))), 2), " ") == x)
     once = told.groupBy(*keys, "at", "two_rows", "field").agg(F.min("column").alias("column"), F.min_by(pair, "column").alias("pair"), F.count_if(F.trim("text") != "").alias("filled"))
