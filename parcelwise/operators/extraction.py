@@ -85,7 +85,7 @@ def consensus(values: DataFrame) -> DataFrame:
     """document, field, value, confidence, rivals from rows of document, field, pos, value: the most repeated value, of equals the first; 1.0 if unanimous, else 0.5."""
     counts = values.groupBy("document", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     ranked = counts.groupBy("document", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "value"))).alias("all"))
-    return ranked.select("document", "field", F.get("all", F.lit(0))["value"].alias("value"), F.when(F.size("all") == 1, 1.0).otherwise(0.5).alias("confidence"), F.transform(F.slice("all", 2, 1000000), lambda x: x["value"]).alias("rivals"))
+    return ranked.select("document", "field", F.get("all", F.lit(0))["value"].alias("value"), F.when(F.size("all") == 1, 1.0).otherwise(0.5).alias("confidence"), F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["value"]).alias("rivals"))
 
 
 def citations(values: DataFrame) -> DataFrame:
