@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import byte_bpe, jaccard_join, language_id, line_dedup, media_columns, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from parcelwise.llm import byte_bpe, filter_audit, jaccard_join, language_id, line_dedup, media_columns, merkle_manifest, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -76,8 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_warc": op11_warc,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op11_warc": warc.SQL, "op12_merkle_manifest": merkle_manifest.SQL, "op13_filter_audit": filter_audit.SQL}
