@@ -203,8 +203,8 @@ def hull(boxes: DataFrame, keys: list[str], padding: float = 0.0) -> DataFrame:
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:
-    """Tables (document, page, index, x0, top, x1, bottom, rows, columns) of three rows and two columns or more; of those with the same rounded box, the first."""
-    box = [F.round(c).cast("long").alias(f"_{c}") for c in ("x0", "top", "x1", "bottom")]
+    """Tables (document, page, index, x0, top, x1, bottom, rows, columns) of three rows and two columns or more; of those whose boxes are the same to one decimal, the first."""
+    box = [F.round(F.col(c) * 10).cast("long").alias(f"_{c}") for c in ("x0", "top", "x1", "bottom")]
     large = tables.filter("rows >= 3 AND columns >= 2").select("*", *box)
     first = Window.partitionBy("document", "page", "_x0", "_top", "_x1", "_bottom").orderBy("index")
     return large.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "_x0", "_top", "_x1", "_bottom")
@@ -244,6 +244,51 @@ def stitch_pages(tables: DataFrame) -> DataFrame:
     return islands.select("document", "page", "island", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_offset"))
 
 
+#: What tells a column's magnitude: rows that are read, and how far values may lie from the anchor's mean, in metres and as a part of it.
+SAMPLE_ROWS, NEAR, NEAR_PART = 12, 5000.0, 0.02
+COORDINATES = ["easting", "northing", "longitude", "latitude"]
+
+
+def continuations(cells: DataFrame, chosen: DataFrame, headers: DataFrame, conventions: DataFrame) -> DataFrame:
+    """document, page, index, row_offset: the chosen table of each document and what continues it, page after page.
+
+    cells: document, page, index, row, column, text. chosen: document, page, index, row (the last of its header), columns (field -> column). headers: document,
+    page, index, has_coordinates. conventions: document, convention. A table continues the chosen one on a later page if it has as many columns, no header of
+    coordinates, and numbers in the same coordinate columns, all near the mean of the chosen one's first rows; of several on a page the first does. The run of such pages
+    starts right behind the chosen page and ends at the first one without: what lies beyond it belongs to another parcel, however alike.
+    """
+    keys = ["document", "page", "index"]
+    at = chosen.select("document", F.col("page").alias("page0"), F.col("index").alias("index0"), F.col("row").alias("header_row"), F.array_compact(F.array(*[F.try_element_at("columns", F.lit(c)) for c in COORDINATES])).alias("wanted"))
+    at = at.join(conventions.select("document", "convention"), "document", "left")
+    own = (F.col("page") == F.col("page0")) & (F.col("index") == F.col("index0"))
+    sampled = F.array_contains("wanted", F.col("column")) & F.when(own, F.col("row").between(F.col("header_row") + 1, F.col("header_row") + SAMPLE_ROWS)).otherwise(F.col("row") < SAMPLE_ROWS)
+    # one row a column of each table, then one a table: all of a document's tables are weighed in one partitioning by document
+    later = cells.join(at, "document").filter(own | (F.col("page") > F.col("page0")))
+    number = F.when(sampled, parse_number(F.col("text"), F.when(F.col("convention") == "us", "us").otherwise("br"))["value"])
+    columns = later.groupBy(*keys, "column").agg(F.max("row").alias("row"), F.min(number).alias("least"), F.max(number).alias("most"), F.avg(number).alias("mean"), F.first("page0").alias("page0"), F.first("index0").alias("index0"))
+    held = F.collect_list(F.when(F.col("mean").isNotNull(), F.struct("column", "least", "most", "mean")))
+    tables = columns.groupBy(*keys).agg((F.max("row") + 1).alias("rows"), (F.max("column") + 1).alias("width"), F.array_sort(held).alias("samples"), F.first("page0").alias("page0"), F.first("index0").alias("index0"))
+    known = headers.filter("has_coordinates").select(*keys, F.lit(True).alias("headed"))
+    whole = Window.partitionBy("document")
+    anchor = F.first(F.when(own, F.struct("width", "samples")), ignorenulls=True).over(whole)
+    tables = tables.join(known, keys, "left").withColumn("anchor", anchor)
+    column_of = lambda c: F.transform(c, lambda x: x["column"])
+    reach = lambda a: F.greatest(F.lit(NEAR), NEAR_PART * F.greatest(F.abs(a["mean"]), F.lit(1.0)))
+    near = F.forall(F.arrays_zip(F.col("samples").alias("s"), F.col("anchor.samples").alias("a")), lambda x: F.greatest(x["s"]["most"] - x["a"]["mean"], x["a"]["mean"] - x["s"]["least"]) <= reach(x["a"]))
+    goes_on = ~own & F.col("headed").isNull() & (F.col("width") == F.col("anchor.width")) & (F.size("samples") > 0) & (column_of(F.col("samples")) == column_of(F.col("anchor.samples"))) & near
+    told = tables.select(*keys, "rows", "page0", own.alias("own"), F.coalesce(goes_on, F.lit(False)).alias("goes_on")).filter("own OR goes_on")
+    first = told.withColumn("k", F.row_number().over(Window.partitionBy("document", "page").orderBy(F.desc("own"), "index"))).filter("k = 1")
+    by_page = Window.partitionBy("document").orderBy("page")
+    # pages in a row from the chosen one on: the n-th of them is n - 1 pages behind it
+    run = first.withColumn("nth", F.row_number().over(by_page) - 1).filter(F.col("page") - F.col("page0") == F.col("nth"))
+    return run.select(*keys, F.coalesce(F.sum("rows").over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("row_offset"))
+
+
+def stitched_cells(cells: DataFrame, runs: DataFrame) -> DataFrame:
+    """document, row, column, text, page, index, source_row: the cells of continuations(), those of later pages below the chosen table's."""
+    return cells.join(runs, ["document", "page", "index"]).select("document", (F.col("row") + F.col("row_offset")).alias("row"), "column", "text", "page", "index", F.col("row").alias("source_row"))
+
+
 def column_boundaries(words: DataFrame, gap: float = 12.0) -> DataFrame:
     """document, page, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the page's rows (words have row)."""
     w = Window.partitionBy("document", "page").orderBy("x0")

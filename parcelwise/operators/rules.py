@@ -108,11 +108,11 @@ def one_cause(fits: DataFrame) -> DataFrame:
     return emit(fits, (F.col("kind").isNotNull(), finding("R16", "systematic", "error", "easting", F.col("kind"), delta=size)))
 
 
-def coordinates(points: DataFrame, key: str = "pair") -> DataFrame:
-    """R17 for E and for N of each matched vertex (with cause, of with_cause()); only informative where one cause explains the pair. hw_a, hw_b may be null."""
+def coordinates(points: DataFrame, key: str = "pair", widths: tuple[str, str, str, str] = ("hw_a", "hw_b", "hw_a", "hw_b")) -> DataFrame:
+    """R17 for E and for N of each matched vertex (with cause, of with_cause()); only informative where one cause explains the pair. widths: columns of the half-widths of E in A and B, and of N; they may be null."""
     kind, severity = F.when(F.col("cause").isNotNull(), "systematic").otherwise("inter_document"), F.when(F.col("cause").isNotNull(), "info").otherwise("error")
-    tolerance = quantum(F.col("hw_a"), F.col("hw_b"))
-    checks = [(exceeds(F.col(b) - F.col(a), tolerance), finding("R17", kind, severity, field, F.col("idx_a"), "AB", F.col(a), F.col(b), F.col(b) - F.col(a), tolerance)) for field, a, b in (("easting", "ea", "eb"), ("northing", "na", "nb"))]
+    of = {"easting": quantum(F.col(widths[0]), F.col(widths[1])), "northing": quantum(F.col(widths[2]), F.col(widths[3]))}
+    checks = [(exceeds(F.col(b) - F.col(a), of[field]), finding("R17", kind, severity, field, F.col("idx_a"), "AB", F.col(a), F.col(b), F.col(b) - F.col(a), of[field])) for field, a, b in (("easting", "ea", "eb"), ("northing", "na", "nb"))]
     return emit(points, *checks, key=key)
 
 
