@@ -6,13 +6,12 @@ what comes first on the page; every operator carries that place.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.angles import angular_difference
 from parcelwise.functions.numbers import convention_vote, parse_number
-from parcelwise.functions.text import normalize_label
+from parcelwise.functions.text import clean_cell, collapse_spaced_letters, normalize_label
 from parcelwise.operators.rings import preceding
 
 #: Limits of the triage: characters, image coverage, vectors; coverage of a page by text that marks data.
@@ -289,38 +288,97 @@ def stitched_cells(cells: DataFrame, runs: DataFrame) -> DataFrame:
     return cells.join(runs, ["document", "page", "index"]).select("document", (F.col("row") + F.col("row_offset")).alias("row"), "column", "text", "page", "index", F.col("row").alias("source_row"))
 
 
-def column_boundaries(words: DataFrame, gap: float = 12.0) -> DataFrame:
-    """document, page, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the page's rows (words have row)."""
-    w = Window.partitionBy("document", "page").orderBy("x0")
+def column_boundaries(words: DataFrame, gap: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
+    """keys, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the rows (words have row)."""
+    w = Window.partitionBy(*keys).orderBy("x0")
     new = F.when(F.col("x0") - F.lag("x0").over(w) > gap, 1).otherwise(0)
     clusters = words.withColumn("new", new).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = clusters.groupBy("document", "page", "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support"))
-    rows = words.groupBy("document", "page").agg(F.count_distinct("row").alias("rows"))
-    return found.join(rows, ["document", "page"]).filter(F.col("support") >= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))).drop("cluster", "rows")
+    found = clusters.groupBy(*keys, "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support"))
+    rows = words.groupBy(*keys).agg(F.count_distinct("row").alias("rows"))
+    return found.join(rows, list(keys)).filter(F.col("support") >= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))).drop("cluster", "rows")
 
 
-def assign_columns(words: DataFrame, boundaries: DataFrame, reach: float = 12.0) -> DataFrame:
-    """words with column: the nearest boundary at or left of the word, give or take reach, the first of equals. A page has few boundaries, gathered in one array."""
-    lists = boundaries.groupBy("document", "page").agg(F.array_sort(F.collect_list("boundary")).alias("edges"))
+def assign_columns(words: DataFrame, boundaries: DataFrame, reach: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
+    """words with column, and width, the number of columns: the nearest boundary at or left of the word, give or take reach, the first of equals. A page has few boundaries, gathered in one array."""
+    lists = boundaries.groupBy(*keys).agg(F.array_sort(F.collect_list("boundary")).alias("edges"))
     near = F.transform("edges", lambda b, k: F.struct(F.when(b <= F.col("x0") + reach, F.abs(F.col("x0") - b)).otherwise(F.lit(float("inf"))).alias("distance"), k.alias("k")))
-    return words.join(lists, ["document", "page"]).withColumn("column", F.array_min(near)["k"]).drop("edges")
+    return words.join(lists, list(keys)).withColumns({"column": F.array_min(near)["k"], "width": F.size("edges")}).drop("edges")
 
 
 def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """words with row: lines by a running mean of the top edge, a recurrence that no window frame expresses. Groups are single pages."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        row, mean, rows = -1, None, []
-        for top in page.top:
-            if mean is None or abs(top - mean) > tolerance:
-                row, mean = row + 1, top
-            else:
-                mean = (mean + top) / 2
-            rows.append(row)
-        return page.assign(row=rows)
-
-    return words.groupBy("document", "page").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", row int")
+    """words with row: lines by a running mean of the top edge, a recurrence that no window frame expresses: a fold over the page's words in order.
+
+    The fold keeps where lines begin only; a page's words are in one row of the plan, so memory is that of the largest page.
+    """
+    keys, rest = ["document", "page"], [c for c in words.columns if c not in ("document", "page", "top", "x0")]
+    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "x0", *rest))).alias("all"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("mean"), F.array().cast("array<int>").alias("starts"))
+
+    def add(state, word):
+        top = word["top"].cast("double")
+        new = state["mean"].isNull() | (F.abs(top - state["mean"]) > tolerance)
+        return F.struct((state["n"] + 1).alias("n"), F.when(new, top).otherwise((state["mean"] + top) / 2).alias("mean"), F.when(new, F.concat(state["starts"], F.array(state["n"]))).otherwise(state["starts"]).alias("starts"))
+
+    folded = pages.select(*keys, "all", F.aggregate("all", start, add)["starts"].alias("starts"))
+    lines = F.transform("starts", lambda s, k: F.struct(k.alias("row"), F.slice("all", s + 1, F.coalesce(F.get("starts", k + 1), F.size("all")) - s).alias("words")))
+    rows = folded.select(*keys, F.explode(lines).alias("line")).select(*keys, F.col("line.row").alias("row"), F.explode("line.words").alias("word"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"word.{c}").alias(c) for c in words.columns], "row")
+
+
+def cells_from_rows(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, column, text of tables laid out by words (keys, row, x0, text): of rows with two words or more, where there are three such rows and two columns or more.
+
+    Rows are numbered anew from 0 on; a column without a word in a row has an empty text there.
+    """
+    row = Window.partitionBy(*keys, "row")
+    kept = words.withColumn("words", F.count(F.lit(1)).over(row)).filter("words >= 2").drop("words")
+    place = Window.partitionBy(*keys).orderBy("row")
+    kept = kept.withColumn("row", F.dense_rank().over(place) - 1)
+    kept = kept.withColumn("rows", F.max("row").over(Window.partitionBy(*keys)) + 1).filter("rows >= 3").drop("rows")
+    placed = assign_columns(kept, column_boundaries(kept, keys=tuple(keys)), keys=tuple(keys)).filter("width >= 2")
+    held = placed.groupBy(*keys, "row", "column").agg(F.first("width").alias("width"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
+    text = collapse_spaced_letters(clean_cell(F.col("text")))
+    lines = held.groupBy(*keys, "row").agg(F.first("width").alias("width"), F.map_from_entries(F.collect_list(F.struct("column", text.alias("text")))).alias("texts"))
+    whole = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.coalesce(F.try_element_at("texts", k), F.lit("")))
+    return lines.select(*keys, "row", F.posexplode(whole).alias("column", "text"))
+
+
+def told_pages(cells: DataFrame) -> DataFrame:
+    """document, page, index of the tables (three rows and two columns or more) whose header has coordinates."""
+    keys = ["document", "page", "index"]
+    large = cells.groupBy(*keys).agg(F.max("row").alias("_r"), F.max("column").alias("_c")).filter("_r >= 2 AND _c >= 1").select(*keys)
+    return map_headers(cells.join(large, keys, "left_semi"), keys, two_rows=False).filter("has_coordinates").select(*keys)
+
+
+#: Numbers of tables that are laid out by words: those in bands from the first on, and that of a whole page.
+BAND_INDEX, PAGE_INDEX = 90, 10_000
+
+
+def cells_from_words(words: DataFrame, ruled: DataFrame, settle=lambda df: df) -> DataFrame:
+    """document, page, index, row, column, text, strategy: tables of each page by the first strategy that finds coordinates.
+
+    words: document, page, x0, x1, top, bottom, text. ruled: cells (document, page, index, row, column, text) that an upstream reader took from drawn lines, kept as they are.
+    A page that these don't tell is searched for bands of rows that look like a table; its bands up to the first one with coordinates are laid out
+    in columns. A page that bands don't tell either is laid out as a whole. A page goes to a later strategy only if no earlier one told it (an anti-join);
+    settle is called on what several steps read.
+    """
+    page = ["document", "page"]
+    pages = lambda told: told.select(*page).distinct()
+    columns = [*page, "index", "row", "column", "text"]
+    by_line = pages(told_pages(ruled))
+    rows = settle(cluster_rows(words.join(by_line, page, "left_anti")))
+    lines = rows.groupBy(*page, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]).alias("tokens"))
+    bands = table_bands(lines, page).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("bands"))
+    # the band of each row, by its interval: a page has few, in one array
+    inside = F.filter(F.transform("bands", lambda b, k: F.struct(k.alias("k"), b.alias("b"))), lambda x: F.col("row").between(x["b"]["first"], x["b"]["last"]))
+    banded = rows.join(bands, page).withColumn("index", BAND_INDEX + F.get(inside, F.lit(0))["k"]).filter("index IS NOT NULL").drop("bands")
+    banded = settle(cells_from_rows(banded, [*page, "index"]))
+    told = settle(told_pages(banded))
+    last = told.groupBy(*page).agg(F.min("index").alias("last"))
+    banded = banded.join(last, page, "left").filter("last IS NULL OR index <= last").drop("last")
+    whole = cells_from_rows(rows.join(pages(told), page, "left_anti"), page).withColumn("index", F.lit(PAGE_INDEX))
+    named = lambda df, name: df.select(*columns, F.lit(name).alias("strategy"))
+    return named(ruled, "ruled").unionByName(named(banded, "band")).unionByName(named(whole, "page"))
 
 
 def side_convention(rows: DataFrame, keys: list[str], declared: str = "declared") -> DataFrame:

@@ -112,3 +112,50 @@ def test_empty_tables(spark):
     cells, pages = spark.createDataFrame([], CELLS), spark.createDataFrame([], "document long, page int, text string")
     documents = spark.createDataFrame([], "document long, pair long, role string, ground boolean, height double, source string")
     assert pipeline.survey(cells, pages, documents).count() == 0
+
+
+WORDS = "document long, page int, x0 double, x1 double, top double, bottom double, text string"
+
+
+def words_of(document, page, lines, top=0.0):
+    """lines: rows of words, each at 120 points from the one before; a word may be (x0, text)."""
+    out = []
+    for k, line_ in enumerate(lines):
+        for c, w in enumerate(line_):
+            x0, text = w if isinstance(w, tuple) else (100.0 + 120 * c, w)
+            out.append((document, page, x0, x0 + 30.0, top + 14.0 * k + (k + c) % 3, top + 14.0 * k + 10, text))
+    return out
+
+
+def test_pages_go_to_a_later_strategy_only_if_no_earlier_one_told_them(spark):
+    head, data = ["Vértice", "Norte", "Este"], lambda k: [f"P{k}", f"7.394.{k:03d},00", f"333.{k:03d},00"]
+    plain = [["Azimute", "Distância", "x"], ["100,000", "200,000", "a"], ["100,000", "300,000", "b"]]
+    words = [
+        *words_of(1, 1, [head, data(1), data(2), data(3)]),  # told by lines
+        *words_of(1, 2, [*plain, ["prosa", "aqui"], head, data(1), data(2), ["mais", "prosa"], head, data(7), data(8)]),
+        *words_of(2, 1, [head, ["folha", "1"], data(1), data(2)]),
+        *words_of(3, 1, [["só"], ["uma"], ["palavra"], ["por", "linha"]]),
+        *words_of(4, 1, [head, [(100.0, "P1"), (108.0, "b"), (221.0, "7.394.001,00"), (341.0, "333.001,00")], data(2), data(3)]),
+    ]
+    ruled = cells_of({(1, 1, 0): [head, data(1), data(2)], (2, 1, 3): [["a", "b"], ["c", "d"]]})
+    got = {}
+    for r in extraction.cells_from_words(spark.createDataFrame(words, WORDS), spark.createDataFrame(ruled, CELLS)).collect():
+        got.setdefault((r.document, r.page, r["index"], r.strategy), {})[r.row, r.column] = r.text
+    assert set(got) == {(1, 1, 0, "ruled"), (2, 1, 3, "ruled"), (1, 2, 90, "band"), (1, 2, 91, "band"), (2, 1, extraction.PAGE_INDEX, "page"), (4, 1, 90, "band")}
+    assert [got[1, 2, 91, "band"][r, 0] for r in range(3)] == ["Vértice", "P1", "P2"]  # the band after it is not searched
+    assert got[2, 1, extraction.PAGE_INDEX, "page"][1, 0] == "folha" and got[2, 1, extraction.PAGE_INDEX, "page"][1, 2] == ""
+    assert got[4, 1, 90, "band"][1, 0] == "P1 b"
+
+
+def test_no_words(spark):
+    assert extraction.cells_from_words(spark.createDataFrame([], WORDS), spark.createDataFrame([], CELLS)).count() == 0
+
+
+def test_lines_follow_a_running_mean(spark):
+    tops = [10.0, 13.0, 15.5, 16.0, 30.0, 33.9, 36.1, 50.0, 54.1]
+    rows = extraction.cluster_rows(spark.createDataFrame([(1, 1, float(k), 0.0, t, 0.0, f"w{k}") for k, t in enumerate(tops)] + [(2, 1, 5.0, 0.0, 1.0, 0.0, None)], WORDS))
+    want, row, mean = {}, -1, None
+    for k, t in enumerate(tops):
+        row, mean = (row + 1, t) if mean is None or abs(t - mean) > 4.0 else (row, (mean + t) / 2)
+        want[f"w{k}"] = row
+    assert {r.text: r.row for r in rows.filter("document = 1").collect()} == want and rows.filter("document = 2").count() == 1
