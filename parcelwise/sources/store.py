@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from parcelwise.sources.lineage import settled
 
+#: A number nearer than this to the primary one is no alternate.
+ALTERNATE_EPS = 1e-6
 FIELDS = ["easting", "northing", "longitude", "latitude", "vertex_code"]
 
 
@@ -86,10 +88,12 @@ def from_parcel_observations(observations: DataFrame, key: str) -> DataFrame:
 
 
 def alternates(observations: DataFrame, key: str) -> DataFrame:
-    """observations without later rows that repeat a value of the same field and place (numbers within a millionth)."""
-    place = F.coalesce((F.round("value_num", 6)).cast("string"), "value_text")
-    first = Window.partitionBy(key, "idx", "field", place).orderBy("ordinal")
-    return observations.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    """observations without later rows that repeat the primary one of the same field and place, the first by ordinal (numbers that differ by less than a millionth, or the same text)."""
+    w = Window.partitionBy(key, "idx", "field").orderBy("ordinal")
+    first = lambda c: F.first(c).over(w)
+    again = F.when(F.col("value_num").isNotNull(), F.abs(F.col("value_num") - first("value_num")) < ALTERNATE_EPS).otherwise(F.col("value_text").eqNullSafe(first("value_text")))
+    kept = observations.withColumns({"_first": F.row_number().over(w) == 1, "_again": again})
+    return kept.filter(F.col("_first") | ~F.coalesce("_again", F.lit(False))).drop("_first", "_again")
 
 
 def page_of(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:

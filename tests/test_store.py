@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import text
 from parcelwise.plans import compare
-from parcelwise.sources import store
-from parcelwise.streaming import queue
+from parcelwise.sources import relational, store
+from parcelwise.streaming import queue, recompare
 
 from .test_matching import coded, ring, star
 
@@ -77,3 +77,56 @@ def test_labels_follow_the_decomposition(spark, raw, label):
 def test_values_as_text(spark):
     rows = spark.createDataFrame([(1, None), (2, 1.5), (3, 100.0), (4, 1234567.1234567), (5, 0.0)], "k int, x double").select(text.value_text(F.col("x")).alias("t")).collect()
     assert [r.t for r in rows] == [None, "1.5", "100", "1234567.123457", "0"]
+
+
+def test_alternates_differ_from_the_primary_by_a_millionth(spark):
+    o = spark.createDataFrame([(1, k, 0, "area", x, None) for k, x in enumerate([0.4e-6, 0.6e-6, 1.3e-6, 1.5e-6])] + [(1, 9, 0, "distance", None, None), (1, 10, 0, "confrontant", None, "X"), (1, 11, 0, "confrontant", None, "X"), (1, 12, 0, "confrontant", None, "Y")], "pair long, ordinal int, idx int, field string, value_num double, value_text string")
+    assert sorted(r.ordinal for r in store.alternates(o, "pair").collect()) == [0, 3, 9, 10, 12]
+
+
+def relational_tables(spark):
+    analyses = spark.createDataFrame([(k, "compared") for k in range(20)], "pair long, status string")
+    extractions = spark.createDataFrame([(k, r) for k in range(19) for r in "AB"], "pair long, role string")
+    observations = spark.createDataFrame([(k % 7, 0.5 + k % 2 * 0.4, k % 3 == 0) for k in range(100)], "pair long, confidence double, edited boolean")
+    findings = spark.createDataFrame([(k % 5, f"R{k % 3}", ["error", "info"][k % 2]) for k in range(30)], "pair long, rule string, severity string")
+    return {"analyses": analyses, "extractions": extractions, "observations": observations, "findings": findings}
+
+
+def test_bucketed_tables_are_joined_without_an_exchange(spark, tmp_path):
+    relational.save(relational_tables(spark), "store_test", str(tmp_path / "store"), 4)
+    held = relational.load(spark, "store_test")
+    for df in (relational.overview(held), relational.with_finding(held, ["R1"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    rows = {r.pair: r for r in relational.overview(held).collect()}
+    assert len(rows) == 20 and rows[19].documents == 0 and rows[3].documents == 2
+    assert [sum(r[c] for r in rows.values()) for c in ("observations", "findings", "errors")] == [100, 30, 15]
+    assert sum(r.unsure for r in rows.values()) == sum(k % 2 == 0 and k % 3 != 0 for k in range(100))
+    assert sorted(r.pair for r in relational.with_finding(held, ["R1"]).collect()) == [0, 1, 2, 3, 4]
+    for t in relational.TABLES:
+        spark.sql(f"DROP TABLE store_test_{t}")
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """A count of each pair's values stands for the comparison; it is asked for the touched pairs only."""
+    asked = []
+
+    def count(observations):
+        asked.append(sorted(r.pair for r in observations.select("pair").distinct().collect()))
+        return observations.filter("value_num > 10").groupBy("pair").agg(F.count(F.lit(1)).cast("double").alias("delta"))
+
+    base = str(tmp_path / "base")
+    observations = spark.createDataFrame([(p, 2 * p + r, 1, i, "easting", 5.0, None, 0.7, False) for p in range(6) for r in (0, 1) for i in range(3)], "pair long, document long, ordinal long, idx int, field string, value_num double, value_text string, confidence double, edited boolean")
+    recompare.create(observations.withColumn("ordinal", F.col("idx").cast("long")), count, base, 4)
+    read = lambda: sorted((r.pair, r.delta) for r in recompare.findings(spark, base).collect())
+    assert read() == []
+    batch = lambda *rows: spark.createDataFrame([(*r[:3], None, r[3], "u") for r in rows], recompare.CORRECTIONS).withColumn("at", F.timestamp_seconds(F.lit(1000) + F.col("value_num").cast("long")))
+    first, second = batch((1, 2, 0, 20.0), (4, 9, 2, 30.0)), batch((1, 2, 1, 40.0), (4, 9, 2, 31.0), (4, 9, 2, 1.0))
+    for n, rows in ((0, first), (1, second), (0, first), (2, batch())):
+        recompare.apply_batch(rows, n, count, base, 4)
+    assert read() == [(1, 2.0), (4, 1.0)] and asked[1:] == [[1, 4]] * 3
+    recompare.apply_batch(batch((4, 9, 2, 50.0)), 3, count, base, 4)
+    assert read() == [(1, 2.0), (4, 1.0)]
+    back = batch((1, 2, 0, 60.0), (1, 2, 1, 61.0)).withColumn("value_num", F.lit(1.0))
+    recompare.apply_batch(back, 4, count, base, 4)
+    assert read() == [(4, 1.0)]
