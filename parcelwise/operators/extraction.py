@@ -13,6 +13,7 @@ from parcelwise.functions.angles import angular_difference
 from parcelwise.functions.numbers import convention_vote, parse_number
 from parcelwise.functions.text import clean_cell, collapse_spaced_letters, normalize_label
 from parcelwise.operators.rings import preceding
+from parcelwise.sources.lineage import settled
 
 #: Limits of the triage: characters, image coverage, vectors; coverage of a page by text that marks data.
 FEW_CHARS, HYBRID_CHARS, MOST_COVERED, MANY_VECTORS, DATA_CHARS = 20, 120, 0.55, 400, 400
@@ -106,6 +107,10 @@ PAIR_LABELS = ["vertice vertice", "de para", "origem destino", "inicial final",
 HEADER_ROWS = 5
 
 
+#: Distinct labels that name a field, up to which they are broadcast.
+BROADCAST_LABELS = 200_000
+
+
 def header_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, column, text) with label, and field where one is told: exact labels, then those that contain or begin with a field's label of three letters or more, in the order of HEADERS."""
     spark = cells.sparkSession
@@ -116,8 +121,12 @@ def header_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
     distinct = labelled.select("label").filter(F.col("label").rlike(f"^(?:{long_})|(?<= )(?:{long_})(?= |$)|^(?:{short})$") & ~F.col("label").isin(GROUPS)).distinct()
     contained = F.contains(F.concat(F.lit(" "), "label", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
     hits = distinct.join(F.broadcast(names), (F.col("label") == F.col("alias")) | ((F.length("alias") >= 3) & (contained | F.startswith("label", F.col("alias")))))
-    known = hits.groupBy("label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field"))
-    return labelled.join(known, "label", "left")  # a few hundred labels that recur
+    known = settled(hits.groupBy("label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field")))
+    # a few hundred labels that recur: counted, and broadcast if they are; else cells without a label, which are most, are spread by their text
+    if known.count() <= BROADCAST_LABELS:
+        return labelled.join(F.broadcast(known), "label", "left")
+    spread = labelled.withColumn("_key", F.when(F.col("label") == "", F.concat(F.lit(" "), "text")).otherwise(F.col("label")))
+    return spread.join(known.withColumnRenamed("label", "_key"), "_key", "left").drop("_key")
 
 
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
