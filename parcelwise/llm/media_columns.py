@@ -3,6 +3,7 @@
 An Aho-Corasick automaton finds all magic bytes in one pass over a media value. At each hit the format's validator
 checks structure and lengths; only what it confirms counts. The medium confirmed at offset 0 corrects the declared type;
 others are carved with their offsets and lengths. Bytes that only look like a signature are thus left alone.
+Chains of chunks and blocks are remembered by position, so that many signatures in one value don't walk the same bytes again.
 
 Formats: WAV (RIFF), BMP, PNG (with chunk checksums), GIF, PGM. A null value is an empty one, of type
 "application/octet-stream". Repeated rows give equal results, an empty table an empty one. Values of any length are
@@ -55,24 +56,151 @@ def write_pgm(samples: bytes) -> bytes:
 WRITERS = [write_wav, write_bmp, write_pgm]
 
 
-def check_wav(data: bytes, at: int) -> tuple[int, int, int] | None:
-    """End of the medium, start and end of its samples, if a whole 8-bit PCM sound starts here; the checks below alike."""
+class Chains:
+    """What is known of the chains of chunks and blocks in one value, by position: chains that meet are the same from there on, so each position is walked once,
+    whatever the number of signatures. Arrays hold 0 where nothing is known yet; their pages are used as far as chains reach."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.tables: dict[str, np.ndarray] = {}
+        self.sums: list[int] = []
+
+    def table(self, name: str) -> np.ndarray:
+        if name not in self.tables:
+            self.tables[name] = np.zeros(len(self.data) + 1, np.int64)
+        return self.tables[name]
+
+    def wav(self, k: int) -> tuple[int, int]:
+        """Of the chunks from k on: the first one of samples, and the last one of the format before it; -1 if there is none."""
+        data, sound, form, trail, at, told = self.data, self.table("wav data"), self.table("wav form"), [], -1, -1
+        while k + 8 <= len(data):
+            if sound[k]:
+                at, told = int(sound[k]), int(form[k])
+                at, told = at - 1 if at > 0 else -1, told - 1 if told > 0 else -1
+                break
+            trail.append(k)
+            if data[k : k + 4] == b"data":
+                at = k
+                break
+            size = struct.unpack_from("<I", data, k + 4)[0]
+            k += 8 + size + size % 2
+        for p in reversed(trail):
+            if told < 0 and data[p : p + 4] == b"fmt " and struct.unpack_from("<I", data, p + 4)[0] >= 16 and p + 24 <= len(data):
+                told = p
+            sound[p], form[p] = at + 1 if at >= 0 else -1, told + 1 if told >= 0 else -1
+        return at, told
+
+    def gif_blocks(self, k: int) -> int:
+        """Where the run of sub-blocks from k ends."""
+        data, ends, trail = self.data, self.table("gif blocks"), []
+        while k < len(data) and data[k] and not ends[k]:
+            trail.append(k)
+            k += 1 + data[k]
+        end = int(ends[k]) if k < len(data) and ends[k] else k + 1
+        for p in trail:
+            ends[p] = end
+        return end
+
+    def gif(self, k: int) -> tuple[int, bool] | None:
+        """End of the picture whose blocks go on at k, and whether an image is among them."""
+        data, known, trail = self.data, self.table("gif"), []
+        found = -1  # else twice the end, and one more with an image
+        while k < len(data):
+            if known[k]:
+                found = int(known[k])
+                break
+            trail.append(k)
+            if data[k] == 0x3B:
+                found = 2 * (k + 1)
+                break
+            if data[k] == 0x21:
+                k = self.gif_blocks(k + 2)
+            elif data[k] == 0x2C and k + 10 < len(data):
+                k = self.gif_blocks(k + 10 + (3 << (data[k + 9] & 7) + 1 if data[k + 9] & 0x80 else 0) + 1)
+            else:
+                break
+        for p in reversed(trail):
+            if found > 0 and data[p] == 0x2C:
+                found |= 1
+            known[p] = found
+        return (found >> 1, bool(found & 1)) if found > 0 else None
+
+    def png(self, k: int) -> int:
+        """End of the chunks from k on, all of them sound and none a header; -1 if they aren't."""
+        data, known, trail, end = self.data, self.table("png"), [], -1
+        while k + 12 <= len(data):
+            if known[k]:
+                end = int(known[k])
+                break
+            trail.append(k)
+            size, name = struct.unpack_from(">I4s", data, k)
+            if k + 12 + size > len(data) or name == b"IHDR" or not name.isalpha() or self.crc(k + 4, k + 8 + size) != struct.unpack_from(">I", data, k + 8 + size)[0]:
+                break
+            k += 12 + size
+            if name == b"IEND":
+                end = k
+                break
+        for p in trail:
+            known[p] = end
+        return end
+
+    def crc(self, start: int, stop: int) -> int:
+        """CRC-32 of a part. Long ones come from those of the value's beginnings, summed up once every STRIDE bytes: taking the part before away costs the logarithm of the length."""
+        if stop - start <= STRIDE:
+            return zlib.crc32(self.data[start:stop])
+        if not self.sums:
+            self.sums = [0]
+            for k in range(0, len(self.data), STRIDE):
+                self.sums.append(zlib.crc32(self.data[k : k + STRIDE], self.sums[-1]))
+        first, last = (zlib.crc32(self.data[x - x % STRIDE : x], self.sums[x // STRIDE]) for x in (start, stop))
+        return last ^ times(power(8 * (stop - start)), first)
+
+
+#: Bytes between two sums of Chains.crc; the polynomial of CRC-32, lowest power first.
+STRIDE, POLYNOMIAL = 4096, 0xEDB88320
+
+
+def times(a: int, b: int) -> int:
+    """Product of two polynomials over two elements, modulo that of CRC-32; the highest bit is the power 0."""
+    out, bit = 0, 1 << 31
+    while bit:
+        if a & bit:
+            out ^= b
+        bit >>= 1
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+@functools.lru_cache(maxsize=64)
+def squared(n: int) -> int:
+    """x to the power of 2 ** n."""
+    return 1 << 30 if n == 0 else times(squared(n - 1), squared(n - 1))
+
+
+def power(n: int) -> int:
+    """x to the power of n."""
+    out = 1 << 31
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            out = times(out, squared(k))
+    return out
+
+
+def check_wav(data: bytes, at: int, chains: Chains) -> tuple[int, int, int] | None:
+    """End of the medium, start and end of its samples, if a whole 8-bit PCM sound starts here (the format before the samples); the checks below alike."""
     if len(data) < at + 44 or data[at + 8 : at + 12] != b"WAVE":
         return None
-    end, k, coded, found = at + 8 + struct.unpack_from("<I", data, at + 4)[0], at + 12, None, None
-    while k + 8 <= min(end, len(data)):
-        name, size = data[k : k + 4], struct.unpack_from("<I", data, k + 4)[0]
-        if name == b"fmt " and size >= 16 and k + 24 <= len(data):
-            coded = struct.unpack_from("<HHIIHH", data, k + 8)
-        elif name == b"data":
-            found = (k + 8, k + 8 + size)
-        k += 8 + size + size % 2
-    if end > len(data) or coded is None or found is None or found[1] > end or coded[0] != 1 or coded[5] != 8 or coded[3] != coded[2] * coded[1]:
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    sound, form = chains.wav(at + 12) if end <= len(data) else (-1, -1)
+    if sound < 0 or form < 0:
+        return None
+    coded, stop = struct.unpack_from("<HHIIHH", data, form + 8), sound + 8 + struct.unpack_from("<I", data, sound + 4)[0]
+    if stop > end or coded[0] != 1 or coded[5] != 8 or coded[3] != coded[2] * coded[1]:
         return None
-    return end, *found
+    return end, sound + 8, stop
 
 
-def check_bmp(data: bytes, at: int) -> tuple[int, int, int] | None:
+def check_bmp(data: bytes, at: int, chains: Chains) -> tuple[int, int, int] | None:
     if len(data) < at + 54:
         return None
     size, a, b, start = struct.unpack_from("<IHHI", data, at + 2)
@@ -83,45 +211,25 @@ def check_bmp(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (at + size, at + start, at + size) if start >= 54 and start + held == size else None
 
 
-def check_png(data: bytes, at: int) -> tuple[int, int, int] | None:
-    k, first = at + 8, True
-    while k + 12 <= len(data):
-        size, name = struct.unpack_from(">I4s", data, k)
-        if k + 12 + size > len(data) or first != (name == b"IHDR") or zlib.crc32(data[k + 4 : k + 8 + size]) != struct.unpack_from(">I", data, k + 8 + size)[0]:
-            return None
-        first, k = False, k + 12 + size
-        if name == b"IEND":
-            return k, at, k
-    return None
-
+def check_png(data: bytes, at: int, chains: Chains) -> tuple[int, int, int] | None:
+    k = at + 8
+    if len(data) < k + 25 or data[k : k + 8] != b"\0\0\0\x0dIHDR" or zlib.crc32(data[k + 4 : k + 21]) != struct.unpack_from(">I", data, k + 21)[0]:
+        return None
+    end = chains.png(k + 25)
+    return (end, at, end) if end >= 0 else None
 
-def check_gif(data: bytes, at: int) -> tuple[int, int, int] | None:
-    def blocks(k: int) -> int:
-        while k < len(data) and data[k]:
-            k += 1 + data[k]
-        return k + 1
 
+def check_gif(data: bytes, at: int, chains: Chains) -> tuple[int, int, int] | None:
     if len(data) < at + 13:
         return None
-    k = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
-    images = 0
-    while k < len(data):
-        if data[k] == 0x3B:
-            return (k + 1, at, k + 1) if images else None
-        if data[k] == 0x21:
-            k = blocks(k + 2)
-        elif data[k] == 0x2C and k + 10 < len(data):
-            k = blocks(k + 10 + (3 << (data[k + 9] & 7) + 1 if data[k + 9] & 0x80 else 0) + 1)
-            images += 1
-        else:
-            return None
-    return None
+    found = chains.gif(at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0))
+    return (found[0], at, found[0]) if found and found[1] else None
 
 
 _PGM = re.compile(rb"P5\n([1-9]\d{0,8}) ([1-9]\d{0,8})\n255\n")
 
 
-def check_pgm(data: bytes, at: int) -> tuple[int, int, int] | None:
+def check_pgm(data: bytes, at: int, chains: Chains) -> tuple[int, int, int] | None:
     if (m := _PGM.match(data, at)) is None:
         return None
     end = m.end() + int(m[1]) * int(m[2])
@@ -145,10 +253,10 @@ def sniff_value(data: bytes) -> list[tuple[int, int, str, int, int]]:
 
     Media inside the samples of an uncompressed one (a whole file stored as samples) are told too.
     """
-    out, covered = [], 0
+    out, covered, chains = [], 0, Chains(data)
     for last, (size, kind) in automaton().iter(data.decode("latin-1")):
         at = last - size + 1
-        if at < covered or (found := CHECKS[kind](data, at)) is None:
+        if at < covered or (found := CHECKS[kind](data, at, chains)) is None:
             continue
         end, start, stop = found
         out.append((at, end - at, kind, start, stop))
