@@ -1,14 +1,16 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Each scan partition is read in shards of SHARD_DOCS documents. A shard builds a BM25 inverted index of its documents
-over token ids; a seed document (the first unused one) opens a window and the index returns its unused neighbours, best
+Documents are encoded once and stored as ids with a sketch of their terms: term weights summed into buckets, and these projected on a few random directions. A tree of halvings, fitted on
+a bounded sample of sketches, gives each document a place in a lexical order; rows are dealt to tasks by ranges of that order (ranges are cut by counts, so a common kind of text
+is spread over many tasks) and sorted in them. Consecutive documents form a shard, whose size is bounded by documents and by tokens.
+A shard builds a BM25 inverted index over token ids; a seed document (the first unused one) opens a window and the index returns its unused neighbours, best
 first, which fill the window greedily. The piece that no longer fits is cut and its rest opens the next window, which
-also carries an open window from shard to shard, so nothing is padded within a partition. The last window of a
-partition is cut at powers of two, where no padding is due either. No shuffle takes place and memory is that of a shard.
+also carries an open window from shard to shard, so nothing is padded within a task. The last window of a
+task is cut at powers of two, where no padding is due either. Memory is that of a shard, or of the longest document.
 
-A null or empty text is its end token alone. Repeated rows are packed once each; ties in score go to the earlier row.
+A null or empty text is its end token alone. Repeated rows are packed once each; ties in score go to the earlier row of the order.
 An empty table gives no pieces. Only the named columns are read. sequence_id holds the partition number in its upper
-bits, so a task that runs again gives the same ids.
+bits; the ids of stored rows don't change, so a task that runs again gives the same pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelwise.llm.common import text_of, texts_utf8, worker_cache
+from parcelwise.llm.common import map_batches, stored, text_of, texts_utf8, worker_cache
 
-#: Documents in one shard of the index; words whose ids a worker keeps.
-SHARD_DOCS, KEPT_WORDS = 1024, 600_000
+#: Documents and tokens of one shard of the index; words whose ids a worker keeps.
+SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 2048, 3_000_000, 600_000
+#: Documents that the lexical order is fitted on; halvings of the sample, down to so few documents; buckets and directions of a sketch.
+FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, DIRECTIONS = 4096, 12, 16, 2048, 64
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -108,6 +112,12 @@ class Index:
         self.query_terms, self.query_ends = term[shared], np.searchsorted(doc[shared], np.arange(len(docs) + 1))
         self.docs = len(docs)
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of used documents; weights stay those of the whole shard."""
+        left = ~used[self.posting_docs]
+        self.posting_ends = np.concatenate([[0], np.cumsum(left)])[self.posting_ends]
+        self.posting_docs, self.posting_weights = self.posting_docs[left], self.posting_weights[left]
+
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first by the BM25 of all its terms."""
         terms = self.query_terms[self.query_ends[seed] : self.query_ends[seed + 1]]
@@ -147,10 +157,13 @@ class Packer:
                 self._close()
 
     def shard(self, ids: list[int | None], docs: list[np.ndarray]) -> None:
-        index, used = Index(docs), np.zeros(len(docs), bool)
+        index, used, held = Index(docs), np.zeros(len(docs), bool), len(docs)
         for seed in range(len(docs)):
             if used[seed]:
                 continue
+            if seed % 64 == 0 and 2 * (left := len(docs) - int(used.sum())) < held:
+                index.forget(used)
+                held = left
             used[seed] = True
             self.add(ids[seed], docs[seed])
             if not self.filled:
@@ -184,21 +197,110 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
+class Sketcher:
+    """Sketches of documents: their terms' weights in hashed buckets, on random directions. Ids of a vocabulary go from frequent to rare, so a term's weight grows with its id."""
+
+    def __init__(self, vocabulary: int = 1 << 17) -> None:
+        r = np.random.default_rng(7)
+        self.bucket, self.weight = r.integers(0, BUCKETS, vocabulary), np.log1p(np.arange(vocabulary)).astype(np.float32)
+        self.directions = r.standard_normal((BUCKETS, DIRECTIONS)).astype(np.float32)
+
+    def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
+        sums = np.empty((len(docs), BUCKETS), np.float32)
+        for k, ids in enumerate(docs):
+            at = ids % len(self.bucket)
+            sums[k] = np.bincount(self.bucket[at], self.weight[at], BUCKETS)
+        out = np.log1p(sums) @ self.directions
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def halvings(sketches: np.ndarray) -> list[tuple[np.ndarray, float] | None]:
+    """A tree as a list: node k parts its sketches at a direction's threshold into nodes 2k + 1 (below) and 2k + 2; None is a leaf. Each node has two means; the direction is their difference."""
+    nodes: list = [None] * ((1 << DEPTH + 1) - 1)
+    todo = [(0, 0, sketches)]
+    while todo:
+        k, depth, rows = todo.pop()
+        if depth == DEPTH or len(rows) < 2 * LEAF_DOCS:
+            continue
+        a = rows[((rows - rows.mean(0)) ** 2).sum(1).argmax()]
+        b = rows[((rows - a) ** 2).sum(1).argmax()]
+        for _ in range(8):
+            right = rows @ (b - a) > (b @ b - a @ a) / 2
+            if right.all() or not right.any():
+                break
+            a, b = rows[~right].mean(0), rows[right].mean(0)
+        if right.all() or not right.any():
+            continue
+        nodes[k] = (b - a, float(b @ b - a @ a) / 2)
+        todo += [(2 * k + 1, depth + 1, rows[~right]), (2 * k + 2, depth + 1, rows[right])]
+    return nodes
+
+
+def places(nodes: list[tuple[np.ndarray, float] | None], sketches: np.ndarray) -> np.ndarray:
+    """The place of each sketch in the order of the tree's leaves, and within a leaf by the sketch's signs."""
+    out = np.zeros(len(sketches), np.int64)
+    todo = [(0, 0, np.arange(len(sketches)))]
+    while todo:
+        k, depth, rows = todo.pop()
+        if not len(rows) or nodes[k] is None:
+            continue
+        direction, threshold = nodes[k]
+        right = sketches[rows] @ direction > threshold
+        out[rows[right]] += 1 << DEPTH - depth - 1
+        todo += [(2 * k + 1, depth + 1, rows[~right]), (2 * k + 2, depth + 1, rows[right])]
+    signs = (sketches[:, :16] > 0) @ (1 << np.arange(16))
+    return out << 16 | signs
+
+
+def lexical_order(docs: DataFrame, encode: Callable[[], WordIds], end_id: int) -> list[tuple[np.ndarray, float] | None]:
+    """halvings() of a sample of rows of id, text: about FIT_DOCS by hash, twice as many at most. Its sketches, a few numbers each, come to the driver."""
+    every = max(docs.count() // FIT_DOCS, 1)
+    sample = docs.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(every)) == 0)
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Sketcher()([encode_ids(encode(), x, end_id) for x in texts_utf8(batch)])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary())], ["sketch"])
+
+    rows = map_batches(sample, sketch, "sketch binary").limit(2 * FIT_DOCS).collect()
+    return halvings(np.frombuffer(b"".join(bytes(r.sketch) for r in rows), np.float32).reshape(-1, DIRECTIONS)) if rows else [None]
+
+
+def encoded(docs: DataFrame, encode: Callable[[], WordIds], end_id: int) -> DataFrame:
+    """id, place, ids (unsigned 32-bit) of rows of id, text."""
+    nodes = docs.sparkSession.sparkContext.broadcast(lexical_order(docs, encode, end_id))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, sketcher = encode(), worker_cache("sketcher", Sketcher, "sketcher")
+        ids = [encode_ids(words, x, end_id) for x in texts_utf8(batch)]
+        place = np.concatenate([places(nodes.value, sketcher(ids[k : k + 256])) for k in range(0, len(ids), 256)])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(place, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "place", "ids"])
+
+    return map_batches(docs, run, "id long, place long, ids binary")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PIECES: which ids of which document lie where in which sequence. tokenizer_path is read by the driver only; its content is broadcast."""
+    """PIECES: which ids of which document lie where in which sequence. tokenizer_path is read by the driver only; its content is broadcast. The encoded documents are stored while the result is used."""
     with open(tokenizer_path, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows, _ = stored(encoded(given, lambda: worker_cache(content.value, lambda: WordIds(content.value)), end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_cache(content.value, lambda: WordIds(content.value))
         packer = Packer(window, TaskContext.get().partitionId() << 40)
+        ids, held, tokens = [], [], 0
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), texts_utf8(batch)
-            for k in range(0, len(ids), SHARD_DOCS):
-                packer.shard(ids[k : k + SHARD_DOCS], [encode_ids(words, x, end_id) for x in texts[k : k + SHARD_DOCS]])
-                yield packer.take()
+            for doc_id, data in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
+                ids.append(doc_id)
+                held.append(np.frombuffer(data, "<u4"))
+                tokens += len(held[-1])
+                if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                    packer.shard(ids, held)
+                    ids, held, tokens = [], [], 0
+                    yield packer.take()
+        if ids:
+            packer.shard(ids, held)
         packer.finish()
         yield packer.take()
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, PIECES)
+    ordered = rows.repartitionByRange("place", F.xxhash64("id", "ids")).sortWithinPartitions("place", F.xxhash64("id", "ids"))
+    return ordered.select("id", "ids").mapInArrow(run, PIECES)

@@ -140,3 +140,60 @@ def test_all_terms_of_a_seed_count():
     assert found[0] == 60 and sorted(found) == list(range(1, 61))
     scores = [score(k) for k in found]
     assert all(a >= b - 1e-9 for a, b in zip(scores, scores[1:]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_are_filled_as_by_plain_greedy_retrieval(seed):
+    """Scores by definition over the whole shard, no postings dropped; the order in which documents are taken and cut must be the same."""
+    r = np.random.default_rng(seed)
+    docs = [np.concatenate([r.choice(90, r.integers(2, 60)) + 10, [1]]).astype("<u4") for _ in range(300)]
+    n, mean = len(docs), np.mean([len(x) for x in docs])
+    counts = [dict(zip(*np.unique(x, return_counts=True))) for x in docs]
+    frequency = {t: sum(t in c for c in counts) for t in set().union(*counts)}
+
+    def score(a, b):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[b]) / mean)
+        return sum(np.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * counts[b][t] * (packing.K1 + 1) / (counts[b][t] + norm) for t in counts[a] if t in counts[b])
+
+    window, used, order, filled = 64, set(), [], 0
+    for s in range(n):
+        if s in used:
+            continue
+        used.add(s)
+        order.append(s)
+        filled = (filled + len(docs[s])) % window
+        if not filled:
+            continue
+        for k in sorted((k for k in range(n) if k not in used), key=lambda k: (-round(score(s, k), 9), k)):
+            used.add(k)
+            order.append(k)
+            before, filled = filled, filled + len(docs[k])
+            if filled >= window:
+                filled %= window
+                break
+    packer = packing.Packer(window, 0)
+    packer.shard(list(range(n)), docs)
+    packer.finish()
+    taken = list(dict.fromkeys(p[0] for p in packer.rows))
+    assert sorted(order) == list(range(n)) and taken == order
+
+
+def test_order_brings_like_documents_together():
+    r = np.random.default_rng(1)
+    topics = [r.choice(40_000, 80, replace=False) + 100 for _ in range(20)]
+    docs = [np.concatenate([r.choice(topics[k % 20], 150), r.choice(100, 100)]).astype("<u4") for k in range(4000)]
+    sketches = packing.Sketcher()(docs)
+    order = np.argsort(packing.places(packing.halvings(sketches[:800]), sketches), kind="stable")
+    topic = order % 20
+    near = np.mean([np.mean(topic[max(0, k - 50) : k + 50] == topic[k]) for k in range(0, 4000, 7)])
+    assert near > 0.7  # 0.05 by chance
+    assert packing.places([None], sketches[:3]).shape == (3,) and not packing.halvings(sketches[:1])[0]
+
+
+def test_dropping_used_postings_keeps_the_scores():
+    r = np.random.default_rng(2)
+    docs = [np.concatenate([r.choice(300, 60) + 10, [1]]).astype("<u4") for _ in range(80)]
+    whole, dropped, used = packing.Index(docs), packing.Index(docs), r.random(80) < 0.6
+    used[0] = True
+    dropped.forget(used)
+    assert whole.neighbours(0, used).tolist() == dropped.neighbours(0, used).tolist()
