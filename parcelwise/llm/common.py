@@ -105,12 +105,12 @@ def text_of(column: str = "text") -> Column:
 _cache: dict = {}
 
 
-def worker_cache(key, make: Callable[[], object], use: str = ""):
-    """What make() returned in this Python worker for key. A worker serves many stages; it holds the last thing for each use only."""
-    if use not in _cache or _cache[use][0] != key:
-        _cache.pop(use, None)
-        _cache[use] = key, make()
-    return _cache[use][1]
+def worker_cache(key, make: Callable[[], object]):
+    """What make() returned in this Python worker for key. A worker serves many stages; it holds the cache of the last one only."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
 
 
 class HashedWords(dict):

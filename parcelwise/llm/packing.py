@@ -1,8 +1,8 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Documents are encoded once and stored as ids with a sketch of their terms: term weights summed into buckets, and these projected on a few random directions. A tree of halvings, fitted on
-a bounded sample of sketches, gives each document a place in a lexical order; rows are dealt to tasks by ranges of that order (ranges are cut by counts, so a common kind of text
-is spread over many tasks) and sorted in them. Consecutive documents form a shard, whose size is bounded by documents and by tokens.
+Documents are encoded once, and each gets a sketch of its terms: term weights summed into buckets, and these projected on a few random directions. A tree of halvings, fitted on
+a bounded sample of sketches, gives each document a place in a lexical order. Ids are shuffled to tasks by ranges of that order, which hold equal parts of the sample; a place that fills several ranges
+(copies of one text, say) is spread over them by a hash. Tasks sort their rows; consecutive documents form a shard, whose size is bounded by documents and by tokens.
 A shard builds a BM25 inverted index over token ids; a seed document (the first unused one) opens a window and the index returns its unused neighbours, best
 first, which fill the window greedily. The piece that no longer fits is cut and its rest opens the next window, which
 also carries an open window from shard to shard, so nothing is padded within a task. The last window of a
@@ -10,7 +10,7 @@ task is cut at powers of two, where no padding is due either. Memory is that of
 
 A null or empty text is its end token alone. Repeated rows are packed once each; ties in score go to the earlier row of the order.
 An empty table gives no pieces. Only the named columns are read. sequence_id holds the partition number in its upper
-bits; the ids of stored rows don't change, so a task that runs again gives the same pieces.
+bits; ranges, places and the order within a task depend on the rows alone, so a task that runs again gives the same pieces.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelwise.llm.common import map_batches, stored, text_of, texts_utf8, worker_cache
+from parcelwise.llm.common import map_batches, slices, text_of, texts_utf8, worker_cache
 
 #: Documents and tokens of one shard of the index; words whose ids a worker keeps.
-SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 2048, 3_000_000, 600_000
+SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 1024, 1_500_000, 600_000
 #: Documents that the lexical order is fitted on; halvings of the sample, down to so few documents; buckets and directions of a sketch.
-FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, DIRECTIONS = 4096, 12, 16, 2048, 64
+FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, DIRECTIONS = 2048, 12, 16, 512, 64
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -200,16 +200,15 @@ class Packer:
 class Sketcher:
     """Sketches of documents: their terms' weights in hashed buckets, on random directions. Ids of a vocabulary go from frequent to rare, so a term's weight grows with its id."""
 
-    def __init__(self, vocabulary: int = 1 << 17) -> None:
+    def __init__(self, vocabulary: int) -> None:
         r = np.random.default_rng(7)
-        self.bucket, self.weight = r.integers(0, BUCKETS, vocabulary), np.log1p(np.arange(vocabulary)).astype(np.float32)
+        self.bucket, self.weight = r.integers(0, BUCKETS, vocabulary), np.log1p(np.arange(vocabulary))
         self.directions = r.standard_normal((BUCKETS, DIRECTIONS)).astype(np.float32)
 
     def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
         sums = np.empty((len(docs), BUCKETS), np.float32)
         for k, ids in enumerate(docs):
-            at = ids % len(self.bucket)
-            sums[k] = np.bincount(self.bucket[at], self.weight[at], BUCKETS)
+            sums[k] = np.bincount(self.bucket[ids], self.weight[ids], BUCKETS)
         out = np.log1p(sums) @ self.directions
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -252,46 +251,64 @@ def places(nodes: list[tuple[np.ndarray, float] | None], sketches: np.ndarray) -
     return out << 16 | signs
 
 
-def lexical_order(docs: DataFrame, encode: Callable[[], WordIds], end_id: int) -> list[tuple[np.ndarray, float] | None]:
-    """halvings() of a sample of rows of id, text: about FIT_DOCS by hash, twice as many at most. Its sketches, a few numbers each, come to the driver."""
+def sampled_sketches(docs: DataFrame, coder: Callable[[], Coder]) -> np.ndarray:
+    """Sketches of a sample of rows of id, text: about FIT_DOCS by hash, twice as many at most. They come to the driver, a few numbers each."""
     every = max(docs.count() // FIT_DOCS, 1)
     sample = docs.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(every)) == 0)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = Sketcher()([encode_ids(encode(), x, end_id) for x in texts_utf8(batch)])
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary())], ["sketch"])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in coder().sketch(coder().ids(batch))], pa.binary())], ["sketch"])
 
     rows = map_batches(sample, sketch, "sketch binary").limit(2 * FIT_DOCS).collect()
-    return halvings(np.frombuffer(b"".join(bytes(r.sketch) for r in rows), np.float32).reshape(-1, DIRECTIONS)) if rows else [None]
+    return np.frombuffer(b"".join(bytes(r.sketch) for r in rows), np.float32).reshape(-1, DIRECTIONS)
 
 
-def encoded(docs: DataFrame, encode: Callable[[], WordIds], end_id: int) -> DataFrame:
-    """id, place, ids (unsigned 32-bit) of rows of id, text."""
-    nodes = docs.sparkSession.sparkContext.broadcast(lexical_order(docs, encode, end_id))
+class Coder:
+    """Ids and sketches of texts, with the caches of one worker. Ids are kept in 16 bits where the vocabulary allows it."""
+
+    def __init__(self, content: str, end_id: int) -> None:
+        self.words, self.end_id = WordIds(content), end_id
+        size = max(self.words.tokenizer.get_vocab_size(), end_id + 1)
+        self.sketch, self.kind = Sketcher(size), "<u2" if size <= 1 << 16 else "<u4"
+
+    def ids(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [encode_ids(self.words, x, self.end_id) for x in texts_utf8(batch)]
+
+
+def dealt(docs: DataFrame, coder: Callable[[], Coder], parts: int) -> DataFrame:
+    """id, place, part, wide (whether ids have 32 bits), ids of rows of id, text; part is one of the ranges of the lexical order."""
+    sample = sampled_sketches(docs, coder)
+    nodes = halvings(sample) if len(sample) else [None]
+    at = np.sort(places(nodes, sample)) if len(sample) else np.zeros(1, np.int64)
+    told = docs.sparkSession.sparkContext.broadcast((nodes, at[np.arange(1, parts) * len(at) // parts]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, sketcher = encode(), worker_cache("sketcher", Sketcher, "sketcher")
-        ids = [encode_ids(words, x, end_id) for x in texts_utf8(batch)]
-        place = np.concatenate([places(nodes.value, sketcher(ids[k : k + 256])) for k in range(0, len(ids), 256)])
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(place, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "place", "ids"])
+        tree, borders = told.value
+        ids, make = coder().ids(batch), coder()
+        place = np.concatenate([places(tree, make.sketch(ids[k : k + 256])) for k in range(0, len(ids), 256)])
+        low, high = np.searchsorted(borders, place, "left"), np.searchsorted(borders, place, "right")
+        spread = np.array([zlib.crc32(x.tobytes() + str(i).encode()) for i, x in zip(batch.column("id").to_pylist(), ids)])
+        columns = [batch.column("id"), pa.array(place, pa.int64()), pa.array(low + spread % (high - low + 1), pa.int32()), pa.array([make.kind == "<u4"] * len(ids)), pa.array([x.astype(make.kind).tobytes() for x in ids], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "place", "part", "wide", "ids"])
 
-    return map_batches(docs, run, "id long, place long, ids binary")
+    return map_batches(docs, run, "id long, place long, part int, wide boolean, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PIECES: which ids of which document lie where in which sequence. tokenizer_path is read by the driver only; its content is broadcast. The encoded documents are stored while the result is used."""
+    """PIECES: which ids of which document lie where in which sequence. tokenizer_path is read by the driver only; its content is broadcast."""
     with open(tokenizer_path, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows, _ = stored(encoded(given, lambda: worker_cache(content.value, lambda: WordIds(content.value)), end_id))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt(given, lambda: worker_cache((content.value, end_id), lambda: Coder(content.value, end_id)), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         ids, held, tokens = [], [], 0
-        for batch in batches:
-            for doc_id, data in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
+        for part in (x for batch in batches for x in slices(batch)):
+            for doc_id, wide, data in zip(*(part.column(c).to_pylist() for c in ("id", "wide", "ids"))):
                 ids.append(doc_id)
-                held.append(np.frombuffer(data, "<u4"))
+                held.append(np.frombuffer(data, "<u4" if wide else "<u2").astype("<u4"))
                 tokens += len(held[-1])
                 if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
                     packer.shard(ids, held)
@@ -302,5 +319,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         packer.finish()
         yield packer.take()
 
-    ordered = rows.repartitionByRange("place", F.xxhash64("id", "ids")).sortWithinPartitions("place", F.xxhash64("id", "ids"))
-    return ordered.select("id", "ids").mapInArrow(run, PIECES)
+    ordered = rows.repartitionById(parts, "part").sortWithinPartitions("place", "id", F.xxhash64("ids"))
+    return ordered.select("id", "wide", "ids").mapInArrow(run, PIECES)

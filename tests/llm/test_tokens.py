@@ -182,7 +182,7 @@ def test_order_brings_like_documents_together():
     r = np.random.default_rng(1)
     topics = [r.choice(40_000, 80, replace=False) + 100 for _ in range(20)]
     docs = [np.concatenate([r.choice(topics[k % 20], 150), r.choice(100, 100)]).astype("<u4") for k in range(4000)]
-    sketches = packing.Sketcher()(docs)
+    sketches = packing.Sketcher(50_000)(docs)
     order = np.argsort(packing.places(packing.halvings(sketches[:800]), sketches), kind="stable")
     topic = order % 20
     near = np.mean([np.mean(topic[max(0, k - 50) : k + 50] == topic[k]) for k in range(0, 4000, 7)])
