@@ -33,8 +33,8 @@ from parcelwise.llm.common import map_batches, slices, text_of, texts_utf8, work
 
 #: Documents and tokens of one shard of the index; words whose ids a worker keeps.
 SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 1024, 1_500_000, 600_000
-#: Documents that the lexical order is fitted on; halvings of the sample, down to so few documents; buckets and directions of a sketch.
-FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, DIRECTIONS = 2048, 12, 16, 512, 64
+#: Documents that the lexical order is fitted on; halvings of the sample, down to so few documents; buckets, classes of rarity and directions of a sketch.
+FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, CLASSES, DIRECTIONS = 2048, 12, 16, 512, 8, 64
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -198,18 +198,21 @@ class Packer:
 
 
 class Sketcher:
-    """Sketches of documents: their terms' weights in hashed buckets, on random directions. Ids of a vocabulary go from frequent to rare, so a term's weight grows with its id."""
+    """Sketches of documents: their terms counted in buckets, on random directions.
+
+    Ids of a vocabulary go from frequent to rare: terms of like rarity (CLASSES of them, by the id's logarithm) share buckets, and a bucket weighs as much as its terms are rare.
+    """
 
     def __init__(self, vocabulary: int) -> None:
-        r = np.random.default_rng(7)
-        self.bucket, self.weight = r.integers(0, BUCKETS, vocabulary), np.log1p(np.arange(vocabulary))
-        self.directions = r.standard_normal((BUCKETS, DIRECTIONS)).astype(np.float32)
+        r, rank = np.random.default_rng(7), np.log1p(np.arange(vocabulary))
+        wide = BUCKETS // CLASSES
+        rarity = (rank / rank[-1] * (CLASSES - 1e-9)).astype(np.int64) if vocabulary > 1 else np.zeros(vocabulary, np.int64)
+        self.bucket = rarity * wide + r.integers(0, wide, vocabulary)
+        self.directions = (r.standard_normal((BUCKETS, DIRECTIONS)) * (1 + np.arange(BUCKETS) // wide)[:, None]).astype(np.float32)
 
     def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
-        sums = np.empty((len(docs), BUCKETS), np.float32)
-        for k, ids in enumerate(docs):
-            sums[k] = np.bincount(self.bucket[ids], self.weight[ids], BUCKETS)
-        out = np.log1p(sums) @ self.directions
+        counts = np.array([np.bincount(self.bucket[ids], minlength=BUCKETS) for ids in docs], np.float32)
+        out = np.log1p(counts) @ self.directions
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -287,7 +290,9 @@ def dealt(docs: DataFrame, coder: Callable[[], Coder], parts: int) -> DataFrame:
         ids, make = coder().ids(batch), coder()
         place = np.concatenate([places(tree, make.sketch(ids[k : k + 256])) for k in range(0, len(ids), 256)])
         low, high = np.searchsorted(borders, place, "left"), np.searchsorted(borders, place, "right")
-        spread = np.array([zlib.crc32(x.tobytes() + str(i).encode()) for i, x in zip(batch.column("id").to_pylist(), ids)])
+        spread, names = np.zeros(len(ids), np.int64), batch.column("id")
+        for k in np.flatnonzero(high > low):
+            spread[k] = zlib.crc32(ids[k].tobytes() + str(names[int(k)].as_py()).encode())
         columns = [batch.column("id"), pa.array(place, pa.int64()), pa.array(low + spread % (high - low + 1), pa.int32()), pa.array([make.kind == "<u4"] * len(ids)), pa.array([x.astype(make.kind).tobytes() for x in ids], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["id", "place", "part", "wide", "ids"])
 
