@@ -113,6 +113,11 @@ def worker_cache(key, make: Callable[[], object]):
     return _cache[key]
 
 
+def forget_caches() -> None:
+    """Free what worker_cache() holds in this worker: for stages that need none of it and memory of their own."""
+    _cache.clear()
+
+
 class HashedWords(dict):
     """word (bytes) -> 64-bit hash of its normal form, the same in every process; holds CACHE_ENTRIES words at most."""
 

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelwise.llm.common import map_batches, slices, text_of, texts_utf8, worker_cache
+from parcelwise.llm.common import forget_caches, map_batches, slices, text_of, texts_utf8, worker_cache
 
 #: Documents and tokens of one shard of the index; words whose ids a worker keeps.
-SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 1024, 1_500_000, 600_000
+SHARD_DOCS, SHARD_TOKENS, KEPT_WORDS = 1024, 1_500_000, 300_000
 #: Documents that the lexical order is fitted on; halvings of the sample, down to so few documents; buckets, classes of rarity and directions of a sketch.
 FIT_DOCS, DEPTH, LEAF_DOCS, BUCKETS, CLASSES, DIRECTIONS = 2048, 12, 16, 512, 8, 64
 #: BM25's usual parameters.
@@ -308,6 +308,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     rows = dealt(given, lambda: worker_cache((content.value, end_id), lambda: Coder(content.value, end_id)), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_caches()  # the words of the encoding stage, which ran in the same workers
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         ids, held, tokens = [], [], 0
         for part in (x for batch in batches for x in slices(batch)):
