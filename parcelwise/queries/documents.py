@@ -286,7 +286,7 @@ SQL = {
         SELECT pair AS document, CASE pair % 3 WHEN 0 THEN 0 ELSE 2 END AS row, pair % 3 = 1 AS two_rows, 7 AS fields, 1000 AS confidence_m, pair % 3 = 1 AS code_is_pair, true AS has_coordinates, field, CASE pair % 3 WHEN 2 THEN 6 - c ELSE c END AS column FROM d, f""",
     "late_headers": "SELECT s_suppkey AS document, 1 AS row, 'azimuth,vertex_code' AS fields, false AS has_coordinates FROM supplier",
     "parcels_from_cells": f"""WITH {VA}, {SIDES} SELECT pair AS document, idx, code, CAST(floor(e * 1000 + 0.5) AS BIGINT) AS e_mm, CAST(floor(n * 1000 + 0.5) AS BIGINT) AS n_mm, CASE WHEN pair % 4 = 3 THEN 'trailing' ELSE 'leading' END AS convention,
-        CAST(floor(azimuth * 3600 + 0.5) AS BIGINT) % 1296000 AS azimuth_s, CASE WHEN NOT arc THEN CAST(floor(length * 100 + 0.5) AS BIGINT) END AS distance_cm, CASE WHEN arc THEN 600 END AS radius_cm, CASE WHEN arc THEN 824 END AS development_cm, CASE WHEN arc THEN 283256 END AS central_s,
+        CAST(floor(azimuth * 3600 + 0.5) AS BIGINT) % 1296000 AS azimuth_s, CASE WHEN NOT arc THEN CAST(floor(length * 100 + 0.5) AS BIGINT) END AS distance_cm, CASE WHEN arc THEN 750 END AS radius_cm, CASE WHEN arc THEN 910 END AS development_cm, CASE WHEN arc THEN 250272 END AS central_s,
         'Lote ' || idx AS neighbour, (idx + 1) % size AS to_idx FROM (SELECT *, pair % 5 = 2 AND idx = 1 AS arc FROM sa)""",
     "context_fields": """WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'SIRGAS2000' WHEN 1 THEN 'WGS84' WHEN 2 THEN 'SAD69' WHEN 3 THEN 'CORREGO_ALEGRE' END AS family, CASE WHEN s_suppkey % 3 = 2 THEN 23 ELSE 22 END AS zone,
           CASE WHEN s_suppkey % 3 <> 1 OR s_suppkey % 2 = 0 THEN 'S' END AS hemisphere, s_suppkey % 4 = 0 AS ha FROM supplier)

@@ -96,8 +96,8 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.select("pair", "idx", "size", "code", F.element_at(F.array(F.lit(0), F.lit(1), F.lit(2)), F.pmod("pair", F.lit(3)).cast("int") + 1).alias("kind"),
         format_br(units(F.col("e"), 1000) / 1000, 3).alias("e"), format_br(units(F.col("n"), 1000) / 1000, 3).alias("n"),
         F.format_string("%d°%02d'%02d\"", (seconds / 3600).cast("int"), (seconds / 60).cast("int") % 60, (seconds % 60).cast("int")).alias("az"),
-        F.when(arc, "R6,00-D8,24").otherwise(format_br(units(F.col("length"), 100) / 100, 2)).alias("d"),
-        F.when(arc, "AC 78°40'56\"").otherwise("").alias("ac"), F.concat(F.lit("Lote "), "idx").alias("next_to"))
+        F.when(arc, "R7,50-D9,10").otherwise(format_br(units(F.col("length"), 100) / 100, 2)).alias("d"),
+        F.when(arc, "AC 69°31'12\"").otherwise("").alias("ac"), F.concat(F.lit("Lote "), "idx").alias("next_to"))
     late = F.pmod("pair", F.lit(4)) == 3
     s = s.withColumns({c: F.when(late, preceding(c, ["pair"])).otherwise(F.col(c)) for c in ("az", "d", "ac", "next_to")})
     code = F.when(F.col("kind") == 1, F.concat("code", F.lit(" P-"), F.lpad((F.pmod(F.col("idx") + 1, F.col("size")) + 1).cast("string"), 2, "0"))).otherwise(F.col("code"))
@@ -118,7 +118,7 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
     number = lambda units, d: F.when(k % 7 == 6, F.format_number(units / 10**d, d)).otherwise(format_br(units / 10**d, d))
     datum = pick(["SIRGAS 2000", "WGS-84", "SAD 69", "Córrego Alegre", "não declarado"], 5)
-    zone = F.when(k % 3 == 0, "fuso 22 S").when(k % 3 == 1, F.concat(F.lit("Meridiano Central "), number(F.lit(588), 2), F.lit(" 51° WGr"))).otherwise("UTM 23S")
+    zone = F.when(k % 3 == 0, "fuso 22 S").when(k % 3 == 1, F.concat(F.lit("Meridiano Central "), number(F.lit(412), 2), F.lit(" 51° WGr"))).otherwise("UTM 23S")
     area = F.when(k % 4 == 0, F.concat(number(120000 + k % 1000, 4), F.lit(" ha"))).otherwise(F.concat(number(100050 + k % 1000 * 100, 2), F.lit(" m²")))
     own = F.concat(F.lit("matrícula nº "), (10000 + k).cast("string"), F.lit("."))
     first = F.concat(F.when(k % 6 == 5, "Folha de rosto, ").otherwise("MEMORIAL DESCRITIVO do imóvel objeto da "), own, F.lit(" Datum: "), datum, F.lit("; "), zone, F.lit(". Área de "), area, F.lit(". Perímetro: "), number(45678 + k, 2), F.lit(" m."))
