@@ -17,6 +17,7 @@ from parcelwise.sources.lineage import settled
 
 #: Limits of the triage: characters, image coverage, vectors; coverage of a page by text that marks data.
 FEW_CHARS, HYBRID_CHARS, MOST_COVERED, MANY_VECTORS, DATA_CHARS = 20, 120, 0.55, 400, 400
+PAGE_CLASSES = ["digital", "scanned", "hybrid", "vector_cad", "empty"]
 #: Confidence by where a value comes from.
 SOURCE_CONFIDENCE = {"table_cell": 1.0, "text_span": 0.95, "ocr": 0.70, "vision": 0.60}
 #: Labels of rows below a table, and of header groups that are no field themselves.
@@ -73,6 +74,12 @@ def document_profile(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document").agg(F.count(F.lit(1)).alias("pages"), F.bool_or("needs_ocr").alias("needs_ocr"), F.count_if("is_data").alias("data_pages")).join(dominant, "document")
 
 
+def class_counts(pages: DataFrame) -> DataFrame:
+    """document, kind, pages: how many triaged pages of each class a document has, zeros included."""
+    counts = pages.groupBy("document").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in PAGE_CLASSES])
+    return counts.select("document", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("pages")) for k in PAGE_CLASSES])))
+
+
 def number_convention(tokens: DataFrame) -> DataFrame:
     """document, convention: the majority of votes of rows of document, pos, token; of equals the one cast first; 'ambiguous' without votes."""
     votes = tokens.select("document", "pos", convention_vote(F.col("token")).alias("vote"))

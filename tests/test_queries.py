@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from parcelwise.queries import details, documents, pipeline, survey
+from parcelwise.queries import details, documents, extractions, pipeline, survey
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = survey.QUERIES | documents.QUERIES | details.QUERIES | pipeline.QUERIES, survey.SQL | documents.SQL | details.SQL | pipeline.SQL
+QUERIES, SQL = survey.QUERIES | documents.QUERIES | details.QUERIES | pipeline.QUERIES | extractions.QUERIES, survey.SQL | documents.SQL | details.SQL | pipeline.SQL | extractions.SQL
 
 
 @pytest.fixture(scope="module")
