@@ -6,6 +6,8 @@ what comes first on the page; every operator carries that place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +90,12 @@ def number_convention(tokens: DataFrame) -> DataFrame:
     return counts.groupBy("document").agg(F.coalesce(best, F.lit("ambiguous")).alias("convention"))
 
 
-def consensus(values: DataFrame) -> DataFrame:
-    """document, field, value, confidence, rivals from rows of document, field, pos, value: the most repeated value, of equals the first; 1.0 if unanimous, else 0.5."""
-    counts = values.groupBy("document", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    ranked = counts.groupBy("document", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "value"))).alias("all"))
-    return ranked.select("document", "field", F.get("all", F.lit(0))["value"].alias("value"), F.when(F.size("all") == 1, 1.0).otherwise(0.5).alias("confidence"), F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["value"]).alias("rivals"))
+def consensus(values: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """document, field, value, confidence, rivals from rows of document, field, pos, value: the most repeated value, of equals the first; 1.0 if unanimous, else 0.5. also: columns given as where the value stands first."""
+    counts = values.groupBy("document", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), *[F.min_by(c, "pos").alias(c) for c in also])
+    ranked = counts.groupBy("document", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "value", *also))).alias("all"))
+    best = F.get("all", F.lit(0))
+    return ranked.select("document", "field", best["value"].alias("value"), *[best[c].alias(c) for c in also], F.when(F.size("all") == 1, 1.0).otherwise(0.5).alias("confidence"), F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["value"]).alias("rivals"))
 
 
 def citations(values: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from parcelwise.functions import angles, crs, numbers, text
 from parcelwise.operators import context, extraction, parcels, rules
 from parcelwise.queries.tables import SIDES, VA, table, table_cells, text_pages, vertices_a
 from parcelwise.sources import store
+from parcelwise.sources.lineage import settled
 from parcelwise.streaming import queue
 
 
@@ -150,14 +151,15 @@ def context_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the suppliers' pages say of their parcels; half of them have a northing besides."""
     pages = text_pages(spark, sf_dir)
     northings = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("document"), F.lit(7394000.0).alias("northing"))
-    c = context.contexts(pages, northings)
+    c = context.contexts(settled(context.matches(pages)), northings)
     u = lambda x, k: F.floor(F.col(x) * k + 0.5).cast("long")
     return c.select("document", "convention", "family", F.col("zone").cast("long").alias("zone"), "hemisphere", F.col("epsg").cast("long").alias("epsg"), u("area", 10000).alias("area_u"), u("area_hw", 1e6).alias("area_hw_u"), "area_confidence", F.size("area_rivals").cast("long").alias("area_rivals"), u("perimeter", 100).alias("perimeter_cm"), "perimeter_confidence", "registration", "registration_confidence")
 
 
 def area_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = text_pages(spark, sf_dir)
-    cited = extraction.citations(context.measures(pages, context.conventions(pages)))
+    found = settled(context.matches(pages))
+    cited = extraction.citations(context.measures(found, context.conventions(found)))
     return cited.select("document", "field", F.col("ordinal").cast("long").alias("ordinal"), F.floor(F.col("value") * 10000 + 0.5).cast("long").alias("value_u"), "confidence")
 
 
