@@ -117,26 +117,28 @@ PAIR_LABELS = ["vertice vertice", "de para", "origem destino", "inicial final",
 HEADER_ROWS = 5
 
 
-#: Distinct labels that name a field, up to which they are broadcast.
-BROADCAST_LABELS = 200_000
+#: Bytes of the distinct texts that name a field, up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
 
 
 def header_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """cells (keys, column, text) with label, and field where one is told: exact labels, then those that contain or begin with a field's label of three letters or more, in the order of HEADERS."""
+    """cells (keys, column, text) with field and label where the text names one: exact labels, then those that contain or begin with a field's label of three letters or more, in the order of HEADERS."""
     spark = cells.sparkSession
     names = spark.createDataFrame([(field, alias, k) for k, (field, alias) in enumerate((f, a) for f, all_ in HEADERS.items() for a in all_)], "field string, alias string, rank int")
-    # most cells of the first rows are data: those without a letter have no label, and only what names some field is compared
-    labelled = cells.withColumn("label", F.when(F.col("text").rlike("\\p{L}"), normalize_label(F.col("text"))).otherwise(""))
+    # headers recur: texts are made distinct before they are normalised, and only what names some field is compared; most cells of the first rows are data
+    lettered = F.col("text").rlike("\\p{L}")
+    texts = cells.filter(lettered).select("text").distinct().withColumn("label", normalize_label(F.col("text")))
     long_, short = ("|".join(a for all_ in HEADERS.values() for a in all_ if (len(a) >= 3) == is_long) for is_long in (True, False))
-    distinct = labelled.select("label").filter(F.col("label").rlike(f"^(?:{long_})|(?<= )(?:{long_})(?= |$)|^(?:{short})$") & ~F.col("label").isin(GROUPS)).distinct()
+    texts = settled(texts).filter(F.col("label").rlike(f"^(?:{long_})|(?<= )(?:{long_})(?= |$)|^(?:{short})$") & ~F.col("label").isin(GROUPS))
     contained = F.contains(F.concat(F.lit(" "), "label", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
-    hits = distinct.join(F.broadcast(names), (F.col("label") == F.col("alias")) | ((F.length("alias") >= 3) & (contained | F.startswith("label", F.col("alias")))))
-    known = settled(hits.groupBy("label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field")))
-    # a few hundred labels that recur: counted, and broadcast if they are; else cells without a label, which are most, are spread by their text
-    if known.count() <= BROADCAST_LABELS:
-        return labelled.join(F.broadcast(known), "label", "left")
-    spread = labelled.withColumn("_key", F.when(F.col("label") == "", F.concat(F.lit(" "), "text")).otherwise(F.col("label")))
-    return spread.join(known.withColumnRenamed("label", "_key"), "_key", "left").drop("_key")
+    hits = texts.join(F.broadcast(names), (F.col("label") == F.col("alias")) | ((F.length("alias") >= 3) & (contained | F.startswith("label", F.col("alias")))))
+    known = settled(hits.groupBy("text", "label").agg(F.min_by("field", F.struct((F.col("label") != F.col("alias")).alias("inexact"), "rank")).alias("field")))
+    # a few hundred texts that recur: measured, and broadcast if they are small; else cells without a letter, which name nothing, are spread by their table
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return cells.join(F.broadcast(known), "text", "left")
+    spread = cells.withColumn("_key", F.when(lettered, F.col("text")).otherwise(F.concat(F.lit(" "), F.xxhash64(*keys).cast("string"))))
+    return spread.join(known.withColumnRenamed("text", "_key"), "_key", "left").drop("_key")
 
 
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,7 +152,7 @@ def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     merged = around.select(*keys, "column", F.explode(parts).alias("p")).filter("p IS NOT NULL").select(*keys, "column", "p.*")
     told = header_fields(merged, [*keys, "at", "two_rows"])
     pair = F.exists(F.lit(PAIR_LABELS), lambda x: F.array_join(F.slice(F.split("label", " "), -F.least(F.lit(2), F.size(F.split("label", " "))), 2), " ") == x)
-    once = told.groupBy(*keys, "at", "two_rows", "field").agg(F.min("column").alias("column"), F.min_by(pair, "column").alias("pair"), F.count_if(F.trim("text") != "").alias("filled"))
+    once = told.groupBy(*keys, "at", "two_rows", "field").agg(F.min("column").alias("column"), F.min_by(F.when(F.col("field") == "vertex_code", pair), "column").alias("pair"), F.count_if(F.trim("text") != "").alias("filled"))
     known = F.col("field").isNotNull()
     rows = once.groupBy(*keys, "at", "two_rows").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(known, F.struct("field", "column"))))).alias("columns"),
