@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import angles, crs, numbers, text
+from parcelwise.functions.let import exploded
 from parcelwise.operators import extraction, rules
 from parcelwise.plans import compare
 from parcelwise.queries.tables import VA, table, vertices_a
@@ -39,8 +40,9 @@ def company_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("last", text._check_digit(F.col("thirteen"), text.CNPJ_WEIGHTS[1]))
     digits = F.concat("thirteen", F.when(k % 5 == 0, (F.col("last") + 1) % 10).otherwise(F.col("last")).cast("string"))
     rows = rows.withColumn("digits", digits)
-    found = rows.withColumn("found", text.tax_ids(F.concat(F.lit("CNPJ "), text.mask_tax_id(F.col("digits")), F.lit(" e CPF "), F.substring("digits", 2, 11), F.lit("; CPF 111.111.111-11."))))
-    return found.select("c_custkey", F.inline("found")).select("c_custkey", "digits", "valid", "confidence", text.mask_tax_id(F.col("digits")).alias("shown"))
+    printed = rows.select("c_custkey", F.concat(F.lit("CNPJ "), text.mask_tax_id(F.col("digits")), F.lit(" e CPF "), F.substring("digits", 2, 11), F.lit("; CPF 111.111.111-11.")).alias("printed"))
+    found = exploded(printed, ["c_custkey"], text.tax_ids(F.col("printed")))
+    return found.select("c_custkey", "x.*").select("c_custkey", "digits", "valid", "confidence", text.mask_tax_id(F.col("digits")).alias("shown"))
 
 
 def angle_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
