@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
+from parcelwise.operators import extraction
 from parcelwise.queries import details
 
 
@@ -22,3 +23,18 @@ def test_elements_of_a_computed_array_are_computed_once(spark):
 def test_company_numbers_are_made_once(spark, tmp_path):
     spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     assert optimized(details.company_numbers(spark, str(tmp_path))).count("104729") == 1
+
+
+def test_rows_of_data_are_told_without_their_labels(spark):
+    rows = [["P-01", "7.394.250,12", "333.123,45"], ["Vértice", "Norte", "Este"], ["sem", "número"], ["COORD.", "N", "Azimute"], ["n", "1"], ["Total", "12"], ["12,.5", "345"], ["− 1 234", "x987,"], []]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, tokens array<string>")
+    got = df.select("k", extraction.row_fields(F.col("tokens")).alias("fields"), extraction.is_data_row(F.col("tokens")).alias("data")).orderBy("k").collect()
+    assert [sorted(r.fields) for r in got] == [[], ["easting", "northing", "vertex_code"], [], ["azimuth", "northing"], ["northing"], [], [], [], []]
+    assert [r.data for r in got] == [True, False, False, False, False, True, True, True, False]
+
+
+def test_lines_of_words_are_folded_once(spark):
+    words = spark.createDataFrame([(1, 1, 0.0, 1.0, "a"), (1, 1, 9.0, 2.0, "b"), (1, 1, 0.0, 20.0, "c")], "document int, page int, x0 double, top double, text string")
+    got = extraction.cluster_rows(words)
+    assert optimized(got).count("aggregate(") == 1
+    assert sorted((r.text, r.row) for r in got.collect()) == [("a", 0), ("b", 0), ("c", 1)]
