@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import angles, crs, numbers, text
+from parcelwise.functions.let import exploded
 from parcelwise.operators import context, extraction, parcels, rules
 from parcelwise.queries.tables import SIDES, VA, table, table_cells, text_pages, vertices_a
 from parcelwise.sources import store
@@ -54,8 +55,8 @@ def tax_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("d1", text._check_digit(F.col("nine"), text.CPF_WEIGHTS[0])).withColumn("ten", F.concat("nine", F.col("d1").cast("string")))
     rows = rows.withColumn("d2", text._check_digit(F.col("ten"), text.CPF_WEIGHTS[1]))
     digits = F.concat("ten", F.when(F.col("c_custkey") % 5 == 0, (F.col("d2") + 1) % 10).otherwise(F.col("d2")).cast("string"))
-    found = rows.withColumn("found", text.tax_ids(F.concat(F.lit("CPF n. "), text.mask_tax_id(digits), F.lit(", residente"))))
-    return found.select("c_custkey", F.inline("found")).select("c_custkey", "digits", "valid", text.mask_tax_id(F.col("digits")).alias("shown"))
+    printed = rows.select("c_custkey", digits.alias("digits")).select("c_custkey", F.concat(F.lit("CPF n. "), text.mask_tax_id(F.col("digits")), F.lit(", residente")).alias("printed"))
+    return exploded(printed, ["c_custkey"], text.tax_ids(F.col("printed"))).select("c_custkey", "x.*").select("c_custkey", "digits", "valid", text.mask_tax_id(F.col("digits")).alias("shown"))
 
 
 def utm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
