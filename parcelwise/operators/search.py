@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.let import exploded
+
 
 def text_hits(pages: DataFrame, pattern: str, before: int = 70, after: int = 40) -> DataFrame:
     """document, page, ordinal (from 1 by page), hit, snippet of every match of pattern, in either case, in pages (document, page, text).
@@ -23,6 +25,7 @@ def text_hits(pages: DataFrame, pattern: str, before: int = 70, after: int = 40)
     around = f"(?iu)(?=(?:{pattern}))(?<=([\\s\\S]{{{before}}}|\\A[\\s\\S]{{0,{before}}}))({pattern})(?=([\\s\\S]{{0,{after}}}))"
     part = lambda group: F.regexp_extract_all("text", F.lit(around), F.lit(group))
     found = F.arrays_zip(part(own + 1).alias("before"), part(own + 2).alias("hit"), part(2 * own + 3).alias("after"))
-    rows = pages.filter(F.col("text").rlike(f"(?iu)(?:{pattern})")).select("document", "page", F.posexplode(found).alias("k", "x"))
+    rows = pages.filter(F.col("text").rlike(f"(?iu)(?:{pattern})"))
+    rows = exploded(rows, ["document", "page"], found, position="k")
     snippet = F.trim(F.regexp_replace(F.concat("x.before", "x.hit", "x.after"), "(?U)\\s+", " "))
     return rows.select("document", "page", (F.col("k") + 1).cast("long").alias("ordinal"), F.col("x.hit").alias("hit"), snippet.alias("snippet"))
