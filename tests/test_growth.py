@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
-from parcelwise.operators import extraction
-from parcelwise.queries import details
+from parcelwise.operators import context, extraction, rules
+from parcelwise.queries import details, documents
 
 
 def optimized(df):
@@ -38,3 +38,22 @@ def test_lines_of_words_are_folded_once(spark):
     got = extraction.cluster_rows(words)
     assert optimized(got).count("aggregate(") == 1
     assert sorted((r.text, r.row) for r in got.collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_votes_are_those_of_all_matches(spark):
+    pages = spark.createDataFrame([(1, 1, "Área de 1.234,50 m² e 12,5 ou 1,234.50"), (1, 2, None), (2, 1, "sem número")], "document int, page int, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("document", "page", "k", F.coalesce("raw", F.lit("")), "n").collect())
+    assert rows(context.votes(pages)) == rows(context.matches(pages).filter("field = 'vote'"))
+    assert "matr" not in optimized(context.votes(pages))
+
+
+def test_tax_numbers_are_made_once(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert optimized(documents.tax_numbers(spark, str(tmp_path))).count("7919") == 1
+
+
+def test_rules_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, 0.0)], "pair long, a double").withColumn("root", F.sqrt("a"))
+    found = rules.emit(rows, (F.col("root") > 1, rules.finding("R6", "internal", "warning", "distance", F.lit("1"), a=F.col("root"))))
+    assert optimized(found).lower().count("sqrt(") == 1
+    assert [(r.pair, r.rule) for r in found.collect()] == [(1, "R6")]
