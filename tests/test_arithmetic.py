@@ -3,6 +3,9 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
+
+from parcelwise.functions import crs
 from parcelwise.operators import rings
 from parcelwise.queries.tables import SIDES
 
@@ -19,3 +22,9 @@ def test_sides_are_the_doubles_of_sql(spark):
     assert all(got[p, k].length == length for p, k, length, _ in want)
     # atan2 itself is not alike in the last bit of some
     assert sum(got[p, k].azimuth != azimuth for p, k, _, azimuth in want) < 0.1 * len(rows)
+
+
+def test_longitude_is_added_in_degrees(spark):
+    """A point on the central meridian has the meridian's very longitude, not one that radians have rounded."""
+    at = spark.createDataFrame([(z,) for z in range(1, 61)], "zone int").select("zone", crs.geographic(F.lit(500000.0), F.lit(7394000.0), F.col("zone"), F.lit("S"))["longitude"].alias("longitude")).collect()
+    assert all(x.longitude == x.zone * 6 - 183 for x in at)
