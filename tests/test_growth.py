@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
-from parcelwise.operators import context, extraction, rules
-from parcelwise.queries import details, documents
+from parcelwise.operators import context, extraction, parcels, rules
+from parcelwise.queries import details, documents, tables
 
 
 def optimized(df):
@@ -57,3 +57,18 @@ def test_rules_read_their_rows_once(spark):
     found = rules.emit(rows, (F.col("root") > 1, rules.finding("R6", "internal", "warning", "distance", F.lit("1"), a=F.col("root"))))
     assert optimized(found).lower().count("sqrt(") == 1
     assert [(r.pair, r.rule) for r in found.collect()] == [(1, "R6")]
+
+
+def test_cells_of_printed_tables_come_from_one_pass(spark):
+    got = tables.table_cells(spark, "/root/testdata/sf0.001")
+    assert optimized(got).count("Relation [") == 1
+
+
+def test_rows_are_read_once_into_vertices(spark):
+    """No filter reads the numbers again below the projection that reads them, and whole rings and others share one branch."""
+    cells = spark.createDataFrame([(1, r, c, t) for r, row in enumerate([["Vértice", "N", "E"], ["P1", "10,5", "20"], ["x", "", ""], ["P2", "11", "21,25"], ["P3", "12", "20"]]) for c, t in enumerate(row)], "document int, row int, column int, text string")
+    headers = spark.createDataFrame([(1, 0, {"vertex_code": 0, "northing": 1, "easting": 2}, False)], "document int, row int, columns map<string,int>, code_is_pair boolean")
+    got = parcels.headed_parcels(cells, headers, spark.createDataFrame([(1, "br")], "document int, convention string"), ["document"])
+    assert "Union" not in optimized(got)
+    assert not [line for line in optimized(got).splitlines() if "Filter" in line and "\\d[" in line]
+    assert [(r.idx, r.code, r.e, r.n, r.to_idx) for r in got.orderBy("idx").collect()] == [(0, "P1", 20.0, 10.5, 1), (1, "P2", 21.25, 11.0, 2), (2, "P3", 20.0, 12.0, 0)]
