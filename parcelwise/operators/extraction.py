@@ -153,14 +153,17 @@ def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     merged = around.select(*keys, "column", F.explode(parts).alias("p")).filter("p IS NOT NULL").select(*keys, "column", "p.*")
     told = header_fields(merged, [*keys, "at", "two_rows"])
     pair = F.exists(F.lit(PAIR_LABELS), lambda x: F.array_join(F.slice(F.split("label", " "), -F.least(F.lit(2), F.size(F.split("label", " "))), 2), " ") == x)
-    once = told.groupBy(*keys, "at", "two_rows", "field").agg(F.min("column").alias("column"), F.min_by(F.when(F.col("field") == "vertex_code", pair), "column").alias("pair"), F.count_if(F.trim("text") != "").alias("filled"))
-    known = F.col("field").isNotNull()
-    rows = once.groupBy(*keys, "at", "two_rows").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(known, F.struct("field", "column"))))).alias("columns"),
-        F.count_if(known).alias("fields"),
-        (F.count_if(known) / F.greatest(F.sum("filled"), F.lit(1))).alias("confidence"),
-        F.coalesce(F.bool_or((F.col("field") == "vertex_code") & F.col("pair")), F.lit(False)).alias("code_is_pair"),
-    ).filter("fields > 0")
+    # a row has few named cells: gathered in one aggregation, of a field the first column counts
+    named = F.when(F.col("field").isNotNull(), F.struct("field", "column", F.when(F.col("field") == "vertex_code", pair).alias("pair")))
+    rows = told.groupBy(*keys, "at", "two_rows").agg(F.array_sort(F.collect_list(named)).alias("all"), F.count_if(F.trim("text") != "").alias("filled")).filter("size(all) > 0")
+    rows = rows.withColumn("once", F.filter("all", lambda x, k: (k == 0) | (F.get("all", k - 1)["field"] != x["field"])))
+    rows = rows.select(
+        *keys, "at", "two_rows",
+        F.map_from_entries(F.transform("once", lambda x: F.struct(x["field"].alias("field"), x["column"].alias("column")))).alias("columns"),
+        F.size("once").cast("long").alias("fields"),
+        (F.size("once") / F.greatest(F.col("filled"), F.lit(1))).alias("confidence"),
+        F.coalesce(F.exists("once", lambda x: (x["field"] == "vertex_code") & F.coalesce(x["pair"], F.lit(False))), F.lit(False)).alias("code_is_pair"),
+    )
     has = lambda *names: F.size(F.array_except(F.array(*map(F.lit, names)), F.map_keys("columns"))) == 0
     return rows.withColumnRenamed("at", "row").withColumn("has_coordinates", has("easting", "northing") | has("latitude", "longitude"))
 
