@@ -75,6 +75,8 @@ class WordIds(dict):
         return b"".join(self[x.encode()] if x.isalpha() else self._piece(x) for x in self.pieces(text))
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if chunk[-1] in b".," and chunk[:-1].isalpha():  # put together each time, so that the words kept are other words
+            return self[chunk[:-1]] + self[chunk[-1:]]
         ids = self._ids(chunk)
         if len(chunk) <= 64:
             if len(self) >= KEPT_WORDS:

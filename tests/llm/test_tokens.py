@@ -197,3 +197,11 @@ def test_dropping_used_postings_keeps_the_scores():
     used[0] = True
     dropped.forget(used)
     assert whole.neighbours(0, used).tolist() == dropped.neighbours(0, used).tolist()
+
+
+def test_words_with_a_mark_are_not_kept_beside_the_words():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        kept = packing.WordIds(file.read())
+    ids = kept[b"amber,"] + kept[b"amber."]
+    assert ids == kept[b"amber"] + kept[b","] + kept[b"amber"] + kept[b"."]
+    assert sorted(kept) == [b",", b".", b"amber"]
