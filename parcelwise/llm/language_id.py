@@ -9,7 +9,7 @@ most, and fewer (LEAST_PER_LANG at least) where there are so many languages that
 
 A null text or one without a letter is "und" with score 0, and so is everything if nothing can be learned (an empty
 table, or no labelled row). keep_identified judges by two measures whose least values are calibrated on held-out labelled
-texts: the gap between the two best margins, and how much of a text's n-grams the landmarks hold. Repeated rows get equal results; ties between languages go to the first in order. Only
+texts, all of them: the gap between the two best margins, and how much of a text's n-grams the landmarks hold. Repeated rows get equal results; ties between languages go to the first in order. Only
 doc_id, text and lang are read, and doc_id and lang only to choose and label training rows.
 """
 
@@ -25,8 +25,8 @@ from parcelwise.llm.common import map_batches, map_rows, text_of, texts_utf8
 FEATURES = 1 << 16
 #: Bounds of the training sample, and of the Nyström landmarks among it; ridge penalty; documents scored at once.
 TRAIN_PER_LANG, LEAST_PER_LANG, TRAIN_ROWS, LANDMARKS, RIDGE, ROWS_AT_ONCE = 400, 8, 8000, 256, 1e-3, 64
-#: Held-out texts of each language (about) that calibrate keep_identified; fewer than LEAST_HELD_OUT in all tell no threshold; share of them that may fall below each.
-HELD_OUT_PER_LANG, LEAST_HELD_OUT, MISSED = 1000, 100, 0.001
+#: Fewer held-out texts than LEAST_HELD_OUT tell no threshold of keep_identified; share of them that may fall below each; steps of 1 in which they are counted, up to MOST.
+LEAST_HELD_OUT, MISSED, STEPS, MOST = 100, 0.001, 10_000, 2
 
 
 def presence(texts: list[bytes]) -> np.ndarray:
@@ -145,18 +145,26 @@ def measures(texts: list[bytes], matrix: np.ndarray, known: np.ndarray) -> np.nd
     return np.concatenate(out)
 
 
+def in_steps(found: np.ndarray) -> np.ndarray:
+    return np.floor(np.minimum(found, MOST) * STEPS).astype(np.int64)
+
+
 def calibrated(docs: DataFrame, shared, sizes: dict[str, int], id_col: str, text_col: str, lang_col: str) -> np.ndarray:
-    """The least gap and share: MISSED of the held-out labelled texts lie below each. Both 0 where there are too few such texts."""
-    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # sizes count the other three quarters of the ids
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * HELD_OUT_PER_LANG / n))]), F.col("lang"))
-    chosen = named.filter(held_out("id") & F.col("lang").isin(list(sizes)) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share))
+    """The least gap and share, in steps: MISSED of all held-out labelled texts lie below each. Both 0 where there are too few such texts. The driver gets the numbers of texts at each step."""
+    held = docs.filter(held_out(id_col) & F.col(lang_col).cast("string").isin(list(sizes)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in measures(texts_utf8(batch), *shared.value).T], ["gap", "share"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in in_steps(measures(texts_utf8(batch), *shared.value)).T], ["gap", "share"])
 
-    found = np.array([tuple(r) for r in map_batches(chosen.select("text"), run, "gap double, share double").filter("share >= 0").collect()])
-    return np.quantile(found, MISSED, axis=0, method="lower") if len(found) >= LEAST_HELD_OUT else np.zeros(2)
+    steps = map_batches(held.select(text_of(text_col).alias("text")), run, "gap long, share long").filter("share >= 0")
+    counts = steps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(c).alias("step")) for k, c in enumerate(("gap", "share"))])).alias("x")).groupBy("x.measure", "x.step").count()
+    found = np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 3)
+    least = np.zeros(2, np.int64)
+    for k in range(2):
+        _, step, texts = found[found[:, 0] == k].T
+        if texts.sum() >= LEAST_HELD_OUT:
+            least[k] = step[np.searchsorted(np.cumsum(texts), int((texts.sum() - 1) * MISSED), "right")]
+    return least
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -170,6 +178,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_text = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array((measures(texts_utf8(batch, f"_{of_text}"), *shared.value) >= least).all(1), pa.bool_()))
+        return batch.filter(pa.array((in_steps(measures(texts_utf8(batch, f"_{of_text}"), *shared.value)) >= least).all(1), pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

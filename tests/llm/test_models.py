@@ -121,6 +121,17 @@ def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
     assert len(clean) > 800 and len(clean & kept) >= 0.99 * len(clean)
 
 
+def test_thresholds_come_from_all_held_out_texts(spark, make):
+    docs = make([(k, prose(k, 4 + k % 7), "en" if k % 2 else "fr", "s0") for k in range(16_000)]).select("doc_id", "text", "lang")
+    _, matrix, known, sizes = language_id.train(docs, "doc_id", "text", "lang")
+    least = language_id.calibrated(docs, spark.sparkContext.broadcast((matrix, known)), sizes, "doc_id", "text", "lang") / language_id.STEPS
+    held = [r.text.encode() for r in docs.filter(language_id.held_out()).collect()]
+    assert len(held) > 3500
+    below = language_id.measures(held, matrix, known)[:, None] < [least, least + 1 / language_id.STEPS]
+    missed = int((len(held) - 1) * language_id.MISSED)
+    assert (below[:, 0].sum(0) <= missed).all() and (below[:, 1].sum(0) > missed).all()
+
+
 def test_single_language_and_few_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
     strange = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(FOREIGN)], docs.schema)
