@@ -27,6 +27,8 @@ FEATURES = 1 << 16
 TRAIN_PER_LANG, LEAST_PER_LANG, TRAIN_ROWS, LANDMARKS, RIDGE, ROWS_AT_ONCE = 400, 8, 8000, 256, 1e-3, 64
 #: Fewer held-out texts than LEAST_HELD_OUT tell no threshold of keep_identified; share of them that may fall below each; steps of 1 in which they are counted, up to MOST.
 LEAST_HELD_OUT, MISSED, STEPS, MOST = 100, 0.001, 10_000, 2
+#: Features that the fit unpacks at once.
+FEATURES_AT_ONCE = 1 << 10
 
 
 def presence(texts: list[bytes]) -> np.ndarray:
@@ -70,6 +72,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * each / r["count"]))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = named.filter(F.col("lang").isin(langs)).withColumn("drawn", drawn).filter(F.col("drawn") < share)
+    most = 3 * each * len(langs)
+    first: dict[str, list[float]] = {lang: [] for lang in langs}
+    for row in chosen.select("lang", "drawn").orderBy("drawn").limit(most).collect():
+        first[row["lang"]].append(row["drawn"])
+    # so that bits come to the driver only of rows that are taken, but for those that share an id
+    cut = F.element_at(F.create_map(*[F.lit(x) for lang, drawn in first.items() for x in (lang, drawn[each - 1] if len(drawn) >= each else 1.0)]), F.col("lang"))
+    chosen = chosen.filter(F.col("drawn") <= cut)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = []
@@ -78,29 +87,38 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
             bits += [x.tobytes() for x in np.packbits(presence(texts[k : k + ROWS_AT_ONCE]), axis=1)]
         return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("drawn"), pa.array(bits, pa.binary())], ["lang", "drawn", "bits"])
 
-    rows = map_batches(chosen.select("text", "lang", "drawn"), run, "lang string, drawn double, bits binary").orderBy("drawn", "lang", "bits").limit(3 * each * len(langs)).collect()
+    rows = map_batches(chosen.select("text", "lang", "drawn"), run, "lang string, drawn double, bits binary").orderBy("drawn", "lang", "bits").limit(most).collect()
     taken: dict[str, list[bytes]] = {lang: [] for lang in langs}
     for row in rows:
         if len(taken[row["lang"]]) < each:
             taken[row["lang"]].append(row["bits"])
+    del rows
     langs = [lang for lang in langs if taken[lang]]
     bits = [np.frombuffer(x, np.uint8) for lang in langs for x in taken[lang]]
     y = np.repeat(np.arange(len(langs)), [len(taken[lang]) for lang in langs])
 
-    def unpacked(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.unpackbits(np.array(rows), axis=1).astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
-    z = unpacked([bits[k] for k in np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int)])
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    # texts in common features are counted a few features at a time: the driver holds bits, not numbers
+    packed = np.array(bits)
+    marks = np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int)
+    step = FEATURES_AT_ONCE // 8
+    unpacked = lambda rows, k: np.unpackbits(rows[:, k : k + step], axis=1).astype(np.float32)
+    common, size = np.zeros((len(bits), len(marks)), np.float32), np.zeros(len(bits), np.float32)
+    for k in range(0, FEATURES // 8, step):
+        x = unpacked(packed, k)
+        common += x @ x[marks].T
+        size += x.sum(1)
+    root = np.sqrt(np.maximum(size, 1))
+    kernel = common / root[:, None] / root[marks]
+    values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
     large = values > 1e-6 * values.max() if values.max() > 0 else np.zeros(len(values), bool)
     whiten = vectors[:, large] / np.sqrt(values[large])
-    kernel = np.concatenate([unpacked(bits[k : k + ROWS_AT_ONCE]) @ z.T for k in range(0, len(bits), ROWS_AT_ONCE)])
     features = kernel @ whiten
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weights = np.linalg.solve(features.T @ features + RIDGE * len(bits) * np.eye(features.shape[1]), features.T @ target)
-    matrix = (z.T @ (whiten @ weights).astype(np.float32)).astype(np.float32)
-    return langs, matrix, (z > 0).any(0).astype(np.float32), {r["lang"]: r["count"] for r in sizes}
+    landmarks, folded = packed[marks], (whiten @ weights / root[marks][:, None]).astype(np.float32)
+    matrix = np.concatenate([unpacked(landmarks, k).T @ folded for k in range(0, FEATURES // 8, step)])
+    known = np.unpackbits(np.bitwise_or.reduce(landmarks, axis=0)).astype(np.float32)
+    return langs, matrix, known, {r["lang"]: r["count"] for r in sizes}
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,6 +132,17 @@ def test_thresholds_come_from_all_held_out_texts(spark, make):
     assert (below[:, 0].sum(0) <= missed).all() and (below[:, 1].sum(0) > missed).all()
 
 
+def test_fit_of_the_driver_holds_bits(spark, make):
+    import tracemalloc
+
+    docs = make([(k, prose(k, 60), "en" if k % 2 else "fr", "s0") for k in range(1200)]).select("doc_id", "text", "lang")
+    tracemalloc.start()
+    language_id.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_single_language_and_few_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
     strange = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(FOREIGN)], docs.schema)
