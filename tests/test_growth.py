@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
-from parcelwise.operators import context, extraction, parcels, rules
+from parcelwise.operators import context, extraction, matching, parcels, rules
 from parcelwise.queries import details, documents, tables
 
 
@@ -72,3 +72,21 @@ def test_rows_are_read_once_into_vertices(spark):
     assert "Union" not in optimized(got)
     assert not [line for line in optimized(got).splitlines() if "Filter" in line and "\\d[" in line]
     assert [(r.idx, r.code, r.e, r.n, r.to_idx) for r in got.orderBy("idx").collect()] == [(0, "P1", 20.0, 10.5, 1), (1, "P2", 21.25, 11.0, 2), (2, "P3", 20.0, 12.0, 0)]
+
+
+def ring(spark, *codes):
+    return spark.createDataFrame([(1, k, c, 10.0 * k, float(k * k)) for k, c in enumerate(codes)], "pair long, idx int, code string, e double, n double")
+
+
+def test_a_pair_goes_through_all_methods_as_one_row(spark):
+    a, b = ring(spark, "P-1", "P-2", "P-3", "P-4", "P-4"), ring(spark, "P-1", "P-2", "P-3", "Q-1", None)
+    got = matching.match_vertices(a, b)
+    assert "Join" not in optimized(got)
+    rows = sorted((r.idx_a, r.idx_b, r.method, r.residual, r.turn) for r in got.collect())
+    assert rows == [(k, k, "code" if k < 3 else "code+geometric", 0.0, None) for k in range(5)]
+
+
+def test_codes_are_grouped_in_a_hash_table(spark):
+    got = matching.match_by_code(ring(spark, "P-1", "P-2", "P-2"), ring(spark, "P-02", "P-1", "P-3"))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.idx_a, r.idx_b, r.ea, r.na, r.eb, r.nb) for r in got.collect()) == [(0, 1, 0.0, 0.0, 10.0, 1.0), (1, 0, 10.0, 1.0, 0.0, 0.0)]
