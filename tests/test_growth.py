@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
 from parcelwise.operators import context, extraction, matching, parcels, rules
-from parcelwise.queries import details, documents, tables
+from parcelwise.queries import details, documents, pipeline, survey, tables
 
 
 def optimized(df):
@@ -90,3 +90,10 @@ def test_codes_are_grouped_in_a_hash_table(spark):
     got = matching.match_by_code(ring(spark, "P-1", "P-2", "P-2"), ring(spark, "P-02", "P-1", "P-3"))
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.idx_a, r.idx_b, r.ea, r.na, r.eb, r.nb) for r in got.collect()) == [(0, 1, 0.0, 0.0, 10.0, 1.0), (1, 0, 10.0, 1.0, 0.0, 0.0)]
+
+
+def test_vertices_without_partner_are_told_without_a_join(spark):
+    assert "Join" not in optimized(survey.unmatched_vertices(spark, "/root/testdata/sf0.001"))
+    rows = matching.with_partners(ring(spark, "P-1", "P-1", "P-2", None), ring(spark, "P-3", "P-2", "P-2", "P-01")).collect()
+    assert sorted((r.side, r.idx) for r in rows if r.matched) == [("a", 0), ("b", 3)]
+    assert [(r.idx_b, r.eb, r.nb) for r in rows if r.matched and r.side == "a"] == [(3, 30.0, 9.0)]
