@@ -186,7 +186,9 @@ def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, family: Col
             return F.when(moved <= INVERSE_EPS, let(terms(t, lam), measure))
 
         def fold(t: Column) -> Column:
-            state = F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), F.struct(t["l"].alias("lam"), F.lit(1.0).alias("moved")), lambda x, _: let(step(t, x["lam"]), lambda y: F.struct(y.alias("lam"), F.abs(y - x["lam"]).alias("moved"))))
+            # a longitude that no longer moves gives itself: the steps that are left are passed over
+            on = lambda x: let(step(t, x["lam"]), lambda y: F.struct(y.alias("lam"), F.abs(y - x["lam"]).alias("moved")))
+            state = F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), F.struct(t["l"].alias("lam"), F.lit(1.0).alias("moved")), lambda x, _: F.when(x["moved"] == 0, x).otherwise(on(x)))
             return let(state, lambda x: result(t, x["lam"], x["moved"]))
 
         return F.when(s.isNotNull(), let(start, fold))

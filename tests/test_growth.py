@@ -97,3 +97,8 @@ def test_vertices_without_partner_are_told_without_a_join(spark):
     rows = matching.with_partners(ring(spark, "P-1", "P-1", "P-2", None), ring(spark, "P-3", "P-2", "P-2", "P-01")).collect()
     assert sorted((r.side, r.idx) for r in rows if r.matched) == [("a", 0), ("b", 3)]
     assert [(r.idx_b, r.eb, r.nb) for r in rows if r.matched and r.side == "a"] == [(3, 30.0, 9.0)]
+
+
+def test_geodesics_pass_over_steps_that_move_nothing(spark):
+    got = pipeline.geodesic_ways(spark, "/root/testdata/sf0.001")
+    assert "moved = 0.0" in optimized(got) and optimized(got).count("aggregate(") == 1
