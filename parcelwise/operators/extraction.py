@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.angles import angular_difference
-from parcelwise.functions.let import exploded
+from parcelwise.functions.let import exploded, let
 from parcelwise.functions.numbers import convention_vote, parse_number
 from parcelwise.functions.text import clean_cell, collapse_spaced_letters, normalize_label
 from parcelwise.operators.rings import preceding
@@ -316,30 +316,49 @@ def stitched_cells(cells: DataFrame, runs: DataFrame) -> DataFrame:
     return cells.join(runs, ["document", "page", "index"]).select("document", (F.col("row") + F.col("row_offset")).alias("row"), "column", "text", "page", "index", F.col("row").alias("source_row"))
 
 
-def column_boundaries(words: DataFrame, gap: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
-    """keys, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the rows (words have row)."""
+def _edge_clusters(words: DataFrame, gap: float, keys: tuple[str, ...], *held: Column) -> DataFrame:
+    """keys, boundary, support, is_edge (see column_boundaries) of each cluster of left edges, with what held gathers of its words. All goes by the page: no join, which would make the words anew on its other side."""
     w = Window.partitionBy(*keys).orderBy("x0")
     new = F.when(F.col("x0") - F.lag("x0").over(w) > gap, 1).otherwise(0)
     clusters = words.withColumn("new", new).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = clusters.groupBy(*keys, "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support"))
-    rows = words.groupBy(*keys).agg(F.count_distinct("row").alias("rows"))
-    return found.join(rows, list(keys)).filter(F.col("support") >= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))).drop("cluster", "rows")
+    found = clusters.groupBy(*keys, "cluster").agg(F.avg("x0").alias("boundary"), F.count(F.lit(1)).alias("support"), F.collect_set("row").alias("_rows"), *held)
+    rows = F.size(F.array_distinct(F.flatten(F.collect_list("_rows").over(Window.partitionBy(*keys)))))
+    return found.withColumn("is_edge", F.col("support") >= F.greatest(F.lit(2), F.floor(rows / 3))).drop("cluster", "_rows")
+
+
+def column_boundaries(words: DataFrame, gap: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
+    """keys, boundary, support: clusters of left edges (x0) parted by gaps over gap, met twice or more and in a third of the rows (words have row)."""
+    return _edge_clusters(words, gap, keys).filter("is_edge").drop("is_edge")
+
+
+def _in_edges(words: DataFrame, reach: float) -> DataFrame:
+    """words with column and width from edges, their page's boundaries in order."""
+    near = F.transform("edges", lambda b, k: F.struct(F.when(b <= F.col("x0") + reach, F.abs(F.col("x0") - b)).otherwise(F.lit(float("inf"))).alias("distance"), k.alias("k")))
+    return words.withColumns({"column": F.array_min(near)["k"], "width": F.size("edges")}).drop("edges")
 
 
 def assign_columns(words: DataFrame, boundaries: DataFrame, reach: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
     """words with column, and width, the number of columns: the nearest boundary at or left of the word, give or take reach, the first of equals. A page has few boundaries, gathered in one array."""
     lists = boundaries.groupBy(*keys).agg(F.array_sort(F.collect_list("boundary")).alias("edges"))
-    near = F.transform("edges", lambda b, k: F.struct(F.when(b <= F.col("x0") + reach, F.abs(F.col("x0") - b)).otherwise(F.lit(float("inf"))).alias("distance"), k.alias("k")))
-    return words.join(lists, list(keys)).withColumns({"column": F.array_min(near)["k"], "width": F.size("edges")}).drop("edges")
+    return _in_edges(words.join(lists, list(keys)), reach)
 
 
-def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """words with row: lines by a running mean of the top edge, a recurrence that no window frame expresses: a fold over the page's words in order.
+def in_columns(words: DataFrame, gap: float = 12.0, reach: float = 12.0, keys: tuple[str, ...] = ("document", "page")) -> DataFrame:
+    """assign_columns() by the words' own column_boundaries(), in one pass: a cluster keeps its words while the page's edges are gathered."""
+    kept = [c for c in words.columns if c not in keys]
+    found = _edge_clusters(words, gap, keys, F.collect_list(F.struct(*kept)).alias("_words"))
+    edges = F.array_sort(F.collect_list(F.when(F.col("is_edge"), F.col("boundary"))).over(Window.partitionBy(*keys)))
+    pages = found.withColumn("edges", edges).filter("size(edges) > 0")
+    return _in_edges(exploded(pages, [*keys, "edges"], F.col("_words")).select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in words.columns], "edges"), reach)
+
+
+def word_pages(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """document, page, all (the page's words in order, as structs) and starts, the places in all where lines begin: by a running mean of the top edge, a recurrence that no window frame expresses.
 
     The fold keeps where lines begin only; a page's words are in one row of the plan, so memory is that of the largest page.
     """
     keys, rest = ["document", "page"], [c for c in words.columns if c not in ("document", "page", "top", "x0")]
-    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "x0", *rest))).alias("all"))
+    pages = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("top", "x0", *rest))).alias("all"))
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("mean"), F.array().cast("array<int>").alias("starts"))
 
     def add(state, word):
@@ -347,12 +366,44 @@ def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
         new = state["mean"].isNull() | (F.abs(top - state["mean"]) > tolerance)
         return F.struct((state["n"] + 1).alias("n"), F.when(new, top).otherwise((state["mean"] + top) / 2).alias("mean"), F.when(new, F.concat(state["starts"], F.array(state["n"]))).otherwise(state["starts"]).alias("starts"))
 
-    folded = pages.select(*keys, "all", F.aggregate("all", start, add)["starts"].alias("starts"))
-    lines = F.transform("starts", lambda s, k: F.struct(k.alias("row"), F.slice("all", s + 1, F.coalesce(F.get("starts", k + 1), F.size("all")) - s).alias("words")))
-    rows = exploded(folded, keys, lines, "line").select(*keys, F.col("line.row").alias("row"), F.explode("line.words").alias("word"))
+    return pages.select(*keys, "all", F.aggregate("all", start, add)["starts"].alias("starts"))
+
+
+def _lines(more: str | None = None) -> Column:
+    """The lines of a page of word_pages() as struct<row, words>, with a column of the page besides."""
+    of = [F.col(more)] if more else []
+    return F.transform("starts", lambda s, k: F.struct(k.alias("row"), F.slice("all", s + 1, F.coalesce(F.get("starts", k + 1), F.size("all")) - s).alias("words"), *of))
+
+
+def cluster_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """words with row: the lines of word_pages()."""
+    keys = ["document", "page"]
+    rows = exploded(word_pages(words, tolerance), keys, _lines(), "line").select(*keys, F.col("line.row").alias("row"), F.explode("line.words").alias("word"))
     return rows.select(*[F.col(c) if c in keys else F.col(f"word.{c}").alias(c) for c in words.columns], "row")
 
 
+def page_edges(pages: DataFrame, gap: float = 12.0) -> DataFrame:
+    """pages (of word_pages) with edges: column_boundaries() of the page's words as array<struct<boundary, support>>, in order, by a fold over its left edges on the page's own row."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<boundary:double,support:bigint>>").alias("done"))
+    closed = lambda state: F.concat(state["done"], F.array(F.struct((state["sum"] / state["n"]).alias("boundary"), state["n"].alias("support"))))
+
+    def add(state, x):
+        new = F.coalesce(x - state["last"] > gap, F.lit(False))
+        return F.struct(x.alias("last"), F.when(new, x).otherwise(state["sum"] + x).alias("sum"), F.when(new, F.lit(1)).otherwise(state["n"] + 1).cast("long").alias("n"), F.when(new, closed(state)).otherwise(state["done"]).alias("done"))
+
+    found = F.aggregate(F.sort_array(F.transform("all", lambda w: w["x0"].cast("double"))), start, add, closed)
+    return pages.withColumn("edges", let(F.greatest(F.lit(2), F.floor(F.size("starts") / 3)), lambda least: F.filter(found, lambda e: e["support"] >= least)))
+
+
+def page_grid(words: DataFrame, reach: float = 12.0) -> DataFrame:
+    """words with row, column and width: cluster_rows() laid out by their own column_boundaries(), a page as one row until it has all."""
+    keys, pages = ["document", "page"], page_edges(word_pages(words))
+    pages = pages.withColumn("edges", F.transform("edges", lambda e: e["boundary"]))
+    # no filter on edges: below the projection that makes them it would make them again
+    lines = exploded(pages, keys, F.when(F.size("edges") > 0, _lines("edges")), "line").select(*keys, "line.row", "line.edges", F.explode("line.words").alias("word"))
+    return _in_edges(lines.select(*[F.col(c) if c in keys else F.col(f"word.{c}").alias(c) for c in words.columns], "row", "edges"), reach)
+
+
 def cells_from_rows(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, row, column, text of tables laid out by words (keys, row, x0, text): of rows with two words or more, where there are three such rows and two columns or more.
 
@@ -363,7 +414,7 @@ def cells_from_rows(words: DataFrame, keys: list[str]) -> DataFrame:
     place = Window.partitionBy(*keys).orderBy("row")
     kept = kept.withColumn("row", F.dense_rank().over(place) - 1)
     kept = kept.withColumn("rows", F.max("row").over(Window.partitionBy(*keys)) + 1).filter("rows >= 3").drop("rows")
-    placed = assign_columns(kept, column_boundaries(kept, keys=tuple(keys)), keys=tuple(keys)).filter("width >= 2")
+    placed = in_columns(kept, keys=tuple(keys)).filter("width >= 2")
     held = placed.groupBy(*keys, "row", "column").agg(F.first("width").alias("width"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
     text = collapse_spaced_letters(clean_cell(F.col("text")))
     lines = held.groupBy(*keys, "row").agg(F.first("width").alias("width"), F.map_from_entries(F.collect_list(F.struct("column", text.alias("text")))).alias("texts"))

@@ -110,12 +110,12 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = extraction.cluster_rows(_words(spark, sf_dir))
-    return extraction.assign_columns(words, extraction.column_boundaries(words)).select("document", "page", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "text")
+    return extraction.page_grid(_words(spark, sf_dir)).select("document", "page", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "text")
 
 
 def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = extraction.column_boundaries(extraction.cluster_rows(_words(spark, sf_dir)))
+    words = _words(spark, sf_dir).drop("text")
+    edges = exploded(extraction.page_edges(extraction.word_pages(words)), ["document", "page"], F.col("edges")).select("document", "page", "x.*")
     return edges.select("document", "page", F.floor(F.col("boundary") * 1000 + 0.5).cast("long").alias("boundary_m"), "support")
 
 

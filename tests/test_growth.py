@@ -102,3 +102,18 @@ def test_vertices_without_partner_are_told_without_a_join(spark):
 def test_geodesics_pass_over_steps_that_move_nothing(spark):
     got = pipeline.geodesic_ways(spark, "/root/testdata/sf0.001")
     assert "moved = 0.0" in optimized(got) and optimized(got).count("aggregate(") == 1
+
+
+def test_pages_of_words_are_laid_out_as_one_row(spark):
+    for made in (documents.word_grid, documents.column_edges):
+        plan = optimized(made(spark, "/root/testdata/sf0.001"))
+        assert "Join" not in plan and "Window" not in plan and plan.count("collect_list(") == 1
+    rows = [(1, 1, x, top, t) for top, line in enumerate(["ab", "cd", "ef"]) for x, t in zip((0.0 + top, 50.0), line)] + [(1, 1, 900.0, 0.0, "z"), (2, 1, 5.0, 0.0, "q")]
+    words = spark.createDataFrame([(d, p, x, 20.0 * top, t) for d, p, x, top, t in rows], "document int, page int, x0 double, top double, text string")
+    by_rows = extraction.cluster_rows(words)
+    want = extraction.assign_columns(by_rows, extraction.column_boundaries(by_rows))
+    got = extraction.page_grid(words)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() == 7
+    assert sorted(map(tuple, extraction.in_columns(by_rows).select(got.columns).collect())) == sorted(map(tuple, got.collect()))
+    edges = extraction.page_edges(extraction.word_pages(words)).select("document", "page", F.inline("edges"))
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, extraction.column_boundaries(by_rows).select(edges.columns).collect()))
