@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["analyses", "extractions", "observations", "findings"]
+#: Rows of the largest table to a bucket, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 8
+
+
+def buckets_of(rows: int) -> int:
+    """How many buckets a store has whose largest table has so many rows: what a task reads stays the same as tables grow."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def save(tables: dict[str, DataFrame], name: str, folder: str, buckets: int, key: str = "pair") -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parcelwise.functions.let import exploded
 from parcelwise.operators import context, extraction, matching, parcels, rules
 from parcelwise.queries import details, documents, pipeline, survey, tables
+from parcelwise.sources import relational
 
 
 def optimized(df):
@@ -117,3 +118,13 @@ def test_pages_of_words_are_laid_out_as_one_row(spark):
     assert sorted(map(tuple, extraction.in_columns(by_rows).select(got.columns).collect())) == sorted(map(tuple, got.collect()))
     edges = extraction.page_edges(extraction.word_pages(words)).select("document", "page", F.inline("edges"))
     assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, extraction.column_boundaries(by_rows).select(edges.columns).collect()))
+
+
+def test_a_store_has_buckets_by_its_rows(spark, monkeypatch):
+    assert [relational.buckets_of(n) for n in (0, 32_000_000, 32_000_001)] == [8, 8, 9]
+    given, save = [], relational.save
+    monkeypatch.setattr(relational, "BUCKET_ROWS", 2000)
+    monkeypatch.setattr(relational, "save", lambda tables, name, folder, buckets: (given.append((tables["observations"].count(), buckets)), save(tables, name, folder, buckets)))
+    assert pipeline.analysis_overview(spark, "/root/testdata/sf0.001").count() > 0
+    (rows, buckets), = given
+    assert buckets == -(-rows // 2000) > 8
