@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions.let import exploded
 from parcelwise.operators import context, extraction, matching, parcels, rules
-from parcelwise.queries import details, documents, pipeline, survey, tables
+from parcelwise.queries import details, documents, extractions, pipeline, survey, tables
 from parcelwise.sources import relational
 
 
@@ -128,3 +128,9 @@ def test_a_store_has_buckets_by_its_rows(spark, monkeypatch):
     assert pipeline.analysis_overview(spark, "/root/testdata/sf0.001").count() > 0
     (rows, buckets), = given
     assert buckets == -(-rows // 2000) > 8
+
+
+def test_stored_values_are_dealt_by_document_once(spark):
+    """Only the source table is shuffled: neither the union of all values nor what is rebuilt from it."""
+    plan = extractions.rebuilt_vertices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and all("document" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
