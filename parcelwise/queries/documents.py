@@ -142,7 +142,8 @@ def late_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parcels_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From printed tables to vertices and sides; numbers as printed, in whole units."""
     cells = table_cells(spark, sf_dir)
-    told = cells.filter("column = 0 AND row = 0").select("document", F.when(F.col("document") % 2 == 0, "br").otherwise("ambiguous").alias("convention"))
+    # of the rings themselves: of cells it would make all tables once more
+    told = vertices_a(spark, sf_dir).filter("idx = 0").select(F.col("pair").alias("document"), F.when(F.col("pair") % 2 == 0, "br").otherwise("ambiguous").alias("convention"))
     p = parcels.parcels(cells, told, ["document"])
     u = lambda c, k: F.floor(F.col(c) * k + 0.5).cast("long")
     return p.select("document", F.col("idx").cast("long").alias("idx"), "code", u("e", 1000).alias("e_mm"), u("n", 1000).alias("n_mm"), "convention", u("declared_azimuth", 3600).alias("azimuth_s"), u("distance", 100).alias("distance_cm"), u("radius", 100).alias("radius_cm"), u("development", 100).alias("development_cm"), u("central_angle", 3600).alias("central_s"), "neighbour", F.col("to_idx").cast("long").alias("to_idx"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from parcelwise.functions import angles, numbers
 from parcelwise.functions.let import exploded
+from parcelwise.functions.text import normalize_label
 from parcelwise.operators import context, extraction, matching, parcels, rules
 from parcelwise.queries import details, documents, extractions, pipeline, survey, tables
 from parcelwise.sources import relational
@@ -75,6 +77,36 @@ def test_rows_are_read_once_into_vertices(spark):
     assert [(r.idx, r.code, r.e, r.n, r.to_idx) for r in got.orderBy("idx").collect()] == [(0, "P1", 20.0, 10.5, 1), (1, "P2", 21.25, 11.0, 2), (2, "P3", 20.0, 12.0, 0)]
 
 
+def test_plain_numbers_and_angles_are_read_as_others_are(spark):
+    """With a blank in front a text is none of the plain ones, and says the same."""
+    texts = ["7", "0012", "123,45", "1.234,5", "333.123,450", "12,345", "1234,5678", "1.2,3", "12.345", "7.394.250,12", "1234567890123456", "1,", ",5", "-3,5", "10°00'00\"", "7°5'9\"", "359°59'59\"", "10°00'", None, ""]
+    df = spark.createDataFrame([(k, t, None if t is None else f" {t}") for k, t in enumerate(texts)], "k int, text string, other string")
+    for parse in (numbers.parse_number, angles.parse_angle):
+        for convention in ("br", "us", "ambiguous"):
+            rows = df.select("text", parse(F.col("text"), convention).alias("a"), parse(F.col("other"), convention).alias("b")).collect()
+            assert [r.a for r in rows] == [r.b for r in rows] and sum(r.a is not None for r in rows) > 10
+
+
+def test_rows_are_gathered_before_they_meet_their_header(spark):
+    """Cells are not joined with headers one by one, and rows that can't be footers get no label."""
+    cells = spark.createDataFrame([(1, r, c, t) for r, row in enumerate([["Vértice", "N", "E"], ["P1", "10,5", "20"], ["P2", "", " "], ["TOTAL", "11", "21,25"], ["(Área)", "12", "20"], ["T-1", "13", "20"]]) for c, t in enumerate(row)] + [(1, 1, 1, "10,7")], "document int, row int, column int, text string")
+    headers = spark.createDataFrame([(1, 0, {"vertex_code": 0, "northing": 1, "easting": 2}, False)], "document int, row int, columns map<string,int>, code_is_pair boolean")
+    rows = parcels.field_rows(cells, headers, ["document"])
+    plan = optimized(rows)
+    assert plan.index("Join") < plan.index("Aggregate") and "max(CASE" not in plan
+    assert [(r.row, r.joined, r.vertex_code, r.northing, r.easting, r.azimuth) for r in rows.orderBy("row").collect()][:2] == [(1, "P1 10,5 10,7 20", "P1", "10,7", "20", None), (2, "P2   ", "P2", None, None, None)]
+    known = rows.withColumn("convention", F.lit("br"))
+    assert sorted(r.code for r in parcels.vertex_rows(known, ["document"]).collect()) == ["P1", "T-1"]
+    texts = ["total", " (Total", "..ÁREA", "\u00e1rea", "a\u0301rea", "S\u00f3ma", "\u2460", "Perímetro", "Fe", "t", "", "P-01", "12,5", "Lote", "to", "p 1", "x", "_Tx"]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", extraction.begins_as_footer(F.col("t")).alias("may"), extraction.is_footer(normalize_label(F.col("t"))).alias("is")).collect()
+    assert all(r.may for r in told if r["is"]) and [r.t for r in told if not r.may] == ["P-01", "12,5", "Lote", "p 1", "x", "_Tx"] and sum(r["is"] for r in told) == 7
+
+
+def test_conventions_print_no_tables(spark):
+    """Tables are printed for headers and for rows, and not a third time."""
+    assert optimized(documents.parcels_from_cells(spark, "/root/testdata/sf0.001")).count("MEMORIAL") == 2
+
+
 def ring(spark, *codes):
     return spark.createDataFrame([(1, k, c, 10.0 * k, float(k * k)) for k, c in enumerate(codes)], "pair long, idx int, code string, e double, n double")
 
