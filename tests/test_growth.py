@@ -1,5 +1,7 @@
 """What keeps queries from growing faster than their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from parcelwise.functions import angles, numbers
@@ -77,6 +79,17 @@ def test_rows_are_read_once_into_vertices(spark):
     assert [(r.idx, r.code, r.e, r.n, r.to_idx) for r in got.orderBy("idx").collect()] == [(0, "P1", 20.0, 10.5, 1), (1, "P2", 21.25, 11.0, 2), (2, "P3", 20.0, 12.0, 0)]
 
 
+def test_what_stands_before_a_registration_needs_no_look_behind(spark):
+    long_ = "x" * 200
+    texts = ["matrícula nº 123", "Matricula 1.234-5, MATRÍCULA 777; e ainda matr\u00edcula nº 999", f"{long_} imóvel, matrícula 123/4 {long_}\n matricula 555", "sem", None, "é" * 89 + "matrícula 1000", "é" * 95 + "matrícula 1000" + "matrícula 100" * 12]
+    pages = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "document int, page int, text string")
+    got = context.matches(pages).filter("field = 'registration'")
+    plan = optimized(context.matches(pages))
+    assert "(?<=" not in plan
+    want = [(k, n, m.group(1), t[max(0, m.start() - 90) : m.start()]) for k, t in enumerate(texts) for n, m in enumerate(re.finditer(f"(?i){context.REGISTRATION}", t or ""))]
+    assert len(want) == 20 and sorted((r.document, r.k, r.raw, r.extra) for r in got.collect()) == want
+
+
 def test_plain_numbers_and_angles_are_read_as_others_are(spark):
     """With a blank in front a text is none of the plain ones, and says the same."""
     texts = ["7", "0012", "123,45", "1.234,5", "333.123,450", "12,345", "1234,5678", "1.2,3", "12.345", "7.394.250,12", "1234567890123456", "1,", ",5", "-3,5", "10°00'00\"", "7°5'9\"", "359°59'59\"", "10°00'", None, ""]
