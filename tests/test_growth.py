@@ -120,6 +120,16 @@ def test_conventions_print_no_tables(spark):
     assert optimized(documents.parcels_from_cells(spark, "/root/testdata/sf0.001")).count("MEMORIAL") == 2
 
 
+def test_headers_read_with_numbers_below_them_are_one_text(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "BROADCAST_BYTES", 200)
+    texts = [f"Azimute {k}°{k % 7}'" for k in range(40)] + ["Norte 7.394.250,12", "12,5", "N", "Vértice Vértice 3", "de 2", None]
+    cells = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "document int, column int, text string")
+    got = extraction.header_fields(cells, ["document"])
+    assert "strategy=broadcast" in optimized(got)
+    rows = got.orderBy("document").collect()
+    assert [r.text for r in rows] == texts and [r.field for r in rows] == ["azimuth"] * 40 + ["northing", None, "northing", "vertex_code", None, None]
+
+
 def ring(spark, *codes):
     return spark.createDataFrame([(1, k, c, 10.0 * k, float(k * k)) for k, c in enumerate(codes)], "pair long, idx int, code string, e double, n double")
 
